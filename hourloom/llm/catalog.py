@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from hourloom.llm import fingerprints
+from hourloom.llm import fingerprints, sharding
 
 QUERIES = {
+    "op2_sharding": sharding.query,
     "op9_fingerprints": fingerprints.query,
 }
 
