@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hourloom.llm import fingerprints, sharding
+from hourloom.llm import decontamination, fingerprints, sharding
 
 QUERIES = {
     "op2_sharding": sharding.query,
+    "op7_decontamination": decontamination.query,
     "op9_fingerprints": fingerprints.query,
 }
 

@@ -74,7 +74,7 @@ def ship(spark: SparkSession) -> None:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` computed once: a lambda variable, which the optimizer never inlines."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
 def indices(n: Column) -> Column:
