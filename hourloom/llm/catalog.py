@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from hourloom.llm import decontamination, fingerprints, sharding
+from hourloom.llm import chat, decontamination, fingerprints, sharding
 
 QUERIES = {
     "op2_sharding": sharding.query,
+    "op4_chat": chat.query,
     "op7_decontamination": decontamination.query,
     "op9_fingerprints": fingerprints.query,
 }
 
-#: Every query here hashes, tokenises, learns or writes files, which DuckDB's SQL can't express
-#: alike; the tests hold them against brute force instead.
-ORACLES: dict[str, str] = {}
+#: The other queries use hashes, tokenizers, models or bytes that DuckDB's SQL can't express; the
+#: tests hold them against brute force instead.
+ORACLES: dict[str, str] = {
+    "op4_chat": chat.ORACLE,
+}
