@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from hourloom.llm import chat, decontamination, fingerprints, sharding
+from hourloom.llm import chat, decontamination, fingerprints, sharding, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op2_sharding": sharding.query,
     "op4_chat": chat.query,
     "op7_decontamination": decontamination.query,
