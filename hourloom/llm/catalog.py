@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from hourloom.llm import chat, decontamination, fingerprints, sharding, token_store, warc
+from hourloom.llm import chat, decontamination, fingerprints, sentencepiece_codec, sharding, token_store, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_sharding": sharding.query,
     "op4_chat": chat.query,
+    "op5_sentencepiece": sentencepiece_codec.query,
     "op6_token_store": token_store.query,
     "op7_decontamination": decontamination.query,
     "op9_fingerprints": fingerprints.query,
