@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hourloom.llm import chat, decontamination, fingerprints, sentencepiece_codec, sharding, token_store, warc
+from hourloom.llm import chat, decontamination, fingerprints, line_dedup, sentencepiece_codec, sharding, token_store, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sentencepiece": sentencepiece_codec.query,
     "op6_token_store": token_store.query,
     "op7_decontamination": decontamination.query,
+    "op8_line_dedup": line_dedup.query,
     "op9_fingerprints": fingerprints.query,
 }
 
@@ -18,4 +19,5 @@ QUERIES = {
 #: tests hold them against brute force instead.
 ORACLES: dict[str, str] = {
     "op4_chat": chat.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
 }
