@@ -42,8 +42,8 @@ CAPACITY, BITS, PROBES = 1 << 16, 16, 4
 GATHERED = 1 << 20
 BLANKS = b" \t\n\x0b\x0c\r"
 NO_ID = -(1 << 63)
-#: Odd multipliers, one for each probe: successive odd parts of the golden ratio's 64 bits.
-MIX = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1 for i in range(PROBES)], np.uint64)
+#: Odd multipliers, one for each probe; unrelated, as multiples of one another would probe together.
+MIX = np.random.default_rng(PROBES).integers(0, 1 << 64, PROBES, np.uint64) | np.uint64(1)
 
 
 class Bloom:
