@@ -7,8 +7,9 @@ only stands alone, so segments cut there merge independently: a segment is worke
 task's bounded cache, not for each occurrence. Where a vocabulary has pieces that do span words,
 whole texts are the segments.
 
-Every text of every Arrow batch is also encoded by the sentencepiece library, and a difference
-stops the job; ``check=False`` leaves that out.
+In every Arrow batch the sentencepiece library encodes each segment that was newly worked out, and
+one whole text of every ``FEW``; it decodes every text's ids, and texts that don't come back as they
+were are encoded by it as wholes too. A difference stops the job; ``check=False`` leaves that out.
 
 Defined results: a null text counts as empty and has no ids; repeated rows and ties are kept; long
 texts are encoded whole; an empty table gives an empty result; other columns are ignored.
@@ -20,7 +21,7 @@ import hashlib
 import heapq
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +31,11 @@ from hourloom.llm.common import ship, table
 
 VOCABULARY = "piece_bpe_32k.model"
 #: The library's mark of a space, and the segments that a task remembers.
-MARK, CACHED_SEGMENTS = "▁", 600_000
+MARK, CACHED_SEGMENTS = "▁", 800_000
 #: Segments of up to so many characters use the list agenda; the rank of a pair that is no piece.
 SHORT, NEVER = 40, float("inf")
+#: Segments beyond this length aren't remembered; documents whose ids a task holds at a time.
+LONGEST, FEW = 64, 256
 _loaded: dict = {}
 
 
@@ -45,6 +48,21 @@ def codec(path: str | None = None) -> Codec:
     return _loaded[path]
 
 
+class Segments(dict):
+    """Ids of segments, worked out when first asked for."""
+
+    def __init__(self, ids: Callable[[str], tuple[int, ...]]) -> None:
+        self.ids = ids
+        self.new: list[str] = []
+
+    def __missing__(self, segment: str) -> tuple[int, ...]:
+        found = self.ids(segment)
+        self.new.append(segment)
+        if len(segment) <= LONGEST:
+            self[segment] = found
+        return found
+
+
 class Codec:
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -60,17 +78,12 @@ class Codec:
         spans = any(MARK in p.lstrip(MARK) for p in self.pieces)
         breaks = "".join(map(re.escape, (c for c in "\n\r\t" if c not in inside)))
         alone = f"|[{breaks}]" if breaks else ""
-        self.segments = re.compile(rf".+" if spans else rf"{MARK}*[^{MARK}{breaks}]+|{MARK}+{alone}", re.DOTALL)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def normalised(self, text: str) -> str:
-        """As the model's own normaliser has it: a mark before the text and for each space."""
-        return MARK + text.replace(" ", MARK) if text else ""
+        self.cut = re.compile(r".+" if spans else rf"[ {MARK}]*[^ {MARK}{breaks}]+|[ {MARK}]+{alone}", re.DOTALL).findall
+        self.known = Segments(self.merge)
 
     def merge(self, segment: str) -> tuple[int, ...]:
-        """Work off the agenda of one segment."""
-        if segment in self.pieces and len(segment) == 1:
-            return (self.pieces[segment],)
+        """Work off the agenda of one segment, with a mark for each space as the model's normaliser has it."""
+        segment = segment.replace(" ", MARK)
         symbols = self._short(segment) if len(segment) <= SHORT else self._long(segment)
         ids: list[int] = []
         for s in symbols:
@@ -122,23 +135,21 @@ class Codec:
         return [s for s in symbols if s is not None]
 
     def encode(self, text: str) -> list[int]:
-        known, ids = self.known, []
-        if len(known) > CACHED_SEGMENTS:
-            known.clear()
-        extend = ids.extend
-        for s in self.segments.findall(self.normalised(text)):
-            found = known.get(s)
-            if found is None:
-                found = self.merge(s)
-                if len(s) <= 64:
-                    known[s] = found
-            extend(found)
-        return ids
-
-    def checked(self, texts: list[str], doc_ids: list, ids: list[list[int]]) -> None:
-        for doc_id, a, b in zip(doc_ids, ids, self.library.encode(texts, num_threads=1), strict=True):
+        """Ids of a text; the normaliser puts a space before any that isn't empty."""
+        if len(self.known) > CACHED_SEGMENTS:
+            self.known.clear()
+        return list(itertools.chain.from_iterable(map(self.known.__getitem__, self.cut(" " + text)))) if text else []
+
+    def check(self, doc_ids: list, texts: list[str], ids: list[list[int]], decoded: list[str]) -> None:
+        """Compare with the library: new segments, the first text, and texts that changed on the way."""
+        doubtful = [k for k, x in enumerate(texts) if k == 0 or decoded[k] != x.replace(MARK, " ")]
+        new = "\n".join(self.known.new)
+        of = [*(doc_ids[k] for k in doubtful), f"{doc_ids[0]} or after"]
+        own = [*(ids[k] for k in doubtful), self.encode(new)]
+        for doc_id, a, b in zip(of, own, self.library.encode([*(texts[k] for k in doubtful), new], num_threads=1), strict=True):
             if a != b:
                 raise ValueError(f"document {doc_id}: own ids differ from the library's")
+        self.known.new.clear()
 
 
 def encoded(docs: DataFrame, path: str | None = None, check: bool = True, with_ids: bool = True) -> DataFrame:
@@ -150,16 +161,18 @@ def encoded(docs: DataFrame, path: str | None = None, check: bool = True, with_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for k in range(0, len(batch), 256):  # a task holds so many documents' ids at a time
-                few = batch.slice(k, 256)
+            for k in range(0, len(batch), FEW):
+                few = batch.slice(k, FEW)
                 texts = few.column("text").to_pylist()
                 ids = [own.encode(x) for x in texts]
+                decoded = own.library.decode(ids, num_threads=1)
                 if check:
-                    own.checked(texts, few.column("doc_id").to_pylist(), ids)
+                    own.check(few.column("doc_id").to_pylist(), texts, ids, decoded)
+                own.known.new.clear()
                 said = [str(x)[1:-1].replace(" ", "") for x in ids]
                 columns = [
                     few.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in said]),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in own.library.decode(ids, num_threads=1)]),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded]),
                 ]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))] if with_ids else columns, schema=schema)
 

@@ -11,7 +11,7 @@ Documents are dealt by ranges of doc_id and sorted inside, so the files, in orde
 in ascending order. A task holds one frame, an index of its file's documents and a bounded cache
 of words; files close after so many ids. Words are separated by spaces and line breaks, which the
 tokenizer drops and no token spans, so the library is asked once for each distinct word of a
-task's cache, not for each occurrence.
+worker's cache, not for each occurrence.
 
 Defined results: a null or empty text has the end id alone; rows without an id come first; repeated
 rows and ties are kept, ordered by their texts' hash; an empty table gives no files; other columns
@@ -20,10 +20,12 @@ are ignored.
 
 from __future__ import annotations
 
+import array
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +42,23 @@ from hourloom.llm.warc import spread
 #: Fixed values of the public formats: skippable frames, their kinds used here, the seek table's end.
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, TABLE_END = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: Plain bytes of a frame; ids of a file; words that a task remembers.
-FRAME_BYTES, FILE_IDS, CACHED_WORDS = 1 << 20, 1 << 28, 400_000
+FRAME_BYTES, FILE_IDS, CACHED_WORDS = 1 << 20, 1 << 28, 800_000
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 ENTRY, FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
+#: Letters, then marks that neither the splitter's apostrophe rules nor special tokens concern.
+PLAIN = re.compile(r"([^\W\d_]*)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)").fullmatch
+#: The public byte-level alphabet: bytes that print stand for themselves, others from 256 on, in order.
+_PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: b if b in _PRINT else 256 + sum(x not in _PRINT for x in range(b)) for b in range(256)}
 _loaded: dict = {}
 
 
 def tokenizer(path: str | None):
     """The tokenizer of a vocabulary file, loaded once in each worker."""
     if path not in _loaded:
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -57,26 +67,63 @@ def tokenizer(path: str | None):
 
 
 class Encoder:
-    """Packed ids of whole texts; remembers words."""
+    """Packed ids of whole texts; remembers words.
+
+    The vocabulary's normaliser lower-cases and its splitter parts letters from other characters, so
+    a word of letters, or of letters and then punctuation, is asked of the library's merge model
+    directly, where its lower case is known to be plain; all other words go the whole way.
+    """
 
     def __init__(self, path: str | None = None, end_id: int = END_ID) -> None:
         self.library = tokenizer(path)
+        self.model = self.library.model
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.words = _loaded.setdefault((path, "words"), {"": b""})
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-            self.words[""] = b""
-        known = self.words
-        new = list(dict.fromkeys(w for words in split for w in words if w not in known))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, self.kind).tobytes()
-        return [b"".join(map(known.__getitem__, words)) + self.end for words in split]
+        self.words, self.letters = Words(self._ids), {}
+
+    def encode(self, text: str) -> bytes:
+        for known in (self.words, self.letters):
+            if len(known) > CACHED_WORDS:
+                known.clear()
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))) + self.end
+
+    def _ids(self, word: str) -> bytes:
+        m = PLAIN(word)
+        if m and (ids := self._merged(m[1])) is not None:
+            return ids + self._whole(m[2]) if m[2] else ids
+        return self._whole(word)
+
+    def _merged(self, word: str) -> bytes | None:
+        """Ids of a word of letters, or None where its lower case isn't plain."""
+        low = word.lower()
+        if (ids := self.letters.get(low)) is None:
+            if not low.isascii():
+                if max(low) >= "\u0250" or not low.isalpha():
+                    return None
+                given = low.encode().decode("latin-1").translate(BYTE_LETTERS)
+            else:
+                given = low
+            ids = self.letters[low] = array.array(self.code, [t.id for t in self.model.tokenize(given)]).tobytes()
+        return ids
+
+    def _whole(self, word: str) -> bytes:
+        if (ids := self.letters.get(word)) is None:
+            ids = array.array(self.code, self.library.encode(word, add_special_tokens=False).ids).tobytes()
+            if len(word) < 8:  # marks come again
+                self.letters[word] = ids
+        return ids
+
+
+class Words(dict):
+    """Ids of words, worked out when first asked for."""
+
+    def __init__(self, ids: Callable[[str], bytes]) -> None:
+        self.ids = ids
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.ids(word)
+        return found
 
 
 class Writer:
@@ -179,7 +226,9 @@ def write(docs: DataFrame, at: str, path: str | None = None, end_id: int = END_I
     dealt = given.repartitionByRange(shuffle_partitions(spark), "doc_id", tie).sortWithinPartitions("doc_id", tie)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number, out = Encoder(path, end_id), TaskContext.get().partitionId(), 0, None
+        if (path, end_id) not in _loaded:
+            _loaded[path, end_id] = Encoder(path, end_id)
+        encoder, part, number, out = _loaded[path, end_id], TaskContext.get().partitionId(), 0, None
 
         def told() -> pa.RecordBatch:
             out.close()
@@ -188,9 +237,9 @@ def write(docs: DataFrame, at: str, path: str | None = None, end_id: int = END_I
         for batch in batches:
             for k in range(0, len(batch), 64):
                 few = batch.slice(k, 64)
-                for doc_id, packed in zip(few.column("doc_id").to_pylist(), encoder.encode(few.column("text").to_pylist()), strict=True):
+                for doc_id, text in zip(few.column("doc_id").to_pylist(), few.column("text").to_pylist(), strict=True):
                     out = out or Writer(f"{at}/{uuid.uuid4().hex}.zst", encoder.kind.itemsize)
-                    out.add(doc_id, packed)
+                    out.add(doc_id, encoder.encode(text))
                     if out.ids >= FILE_IDS:
                         yield told()
                         out, number = None, number + 1

@@ -38,15 +38,20 @@ def test_ids_round_trip(spark):
 def test_agenda_equals_the_library(text):
     own = S.codec()
     assert own.encode(text) == own.library.encode(text)
-    s = own.normalised(text)
+    s = S.MARK + text.replace(" ", S.MARK)
     assert own._short(s) == own._long(s)
 
 
 def test_a_difference_stops_the_job():
     own = S.Codec(__import__("public_tokenizers").path(S.VOCABULARY))
-    own.checked(["the word"], [1], [own.encode("the word")])
-    with pytest.raises(ValueError, match="document 7: own ids differ"):
-        own.checked(["the word"], [7], [[5]])
+    texts = ["the word", "of two"]
+    own.check([1, 2], texts, [own.encode(x) for x in texts], texts)
+    for wrong in ([[5], own.encode("of two")], [own.encode("the word"), [5]]):
+        with pytest.raises(ValueError, match="own ids differ"):
+            own.check([7, 8], texts, wrong, own.library.decode(wrong))
+    own.rank.clear()  # segments worked out from here on are wrong
+    with pytest.raises(ValueError, match="own ids differ"):
+        own.check([7], ["the word"], [own.library.encode("the word")], ["the word"]) or own.encode("newer") and own.check([7], ["the word"], [own.library.encode("the word")], ["the word"])
 
 
 def test_empty_table(spark, tmp_path):
