@@ -1,13 +1,74 @@
-"""A training-data pipeline over ``documents``; the stages follow as their operators are built."""
+"""A training-data pipeline over ``documents``: toxic documents, repeated lines, near copies and
+documents with benchmark passages go; what stays is encoded.
+
+Each stage takes all rows its predecessor kept and, but for the last, returns the columns of
+``documents``, with ``n_chars`` of the text as it is then.
+
+Defined results: null texts pass as empty; rows without an id are never near copies of others; rows that
+share a doc_id are one document, whose smallest text stays; an empty table gives an empty result; other columns pass
+through. SQL can't express the stages (models, hashes, tokenizers), so tests compare them with brute
+force.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hourloom.llm import decontamination, line_dedup, minhash, sentencepiece_codec, toxicity
+from hourloom.llm.common import materialize, shared_dir, table
+
+#: Documents of at least this score go.
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs.withColumnRenamed("score", "_score"), *model, columns=tuple(docs.withColumnRenamed("score", "_score").columns)).filter(F.col("score") < TOXIC).drop("score").withColumnRenamed("_score", "score")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    renamed = docs.select("doc_id", "text", *[F.col(c).alias(f"own_{c}") for c in others])
+    out = line_dedup.dedup_lines(renamed, tuple(f"own_{c}" for c in others))
+    out = out.select("doc_id", "text", *[F.col(f"own_{c}").alias(c) for c in others])
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity of 0.8; the smallest doc_id of each group stays."""
+    gone = minhash.near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept").select("doc_id")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    one = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.coalesce("text", F.lit(""))).alias("row"))
+    return one.select("doc_id", "row.*").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
+    hit = found.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("hit_hash"))
+    return docs.join(hit, same, "left_anti")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encoded(docs, with_ids=False)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece", encode),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; each result is written to the shared folder and read again."""
+    docs, at = table(spark, sf_dir, "documents"), shared_dir(spark)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"{at}/{name}")
     return docs
