@@ -3,12 +3,504 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hourloom.functions import scalar as S
+from hourloom.operators import evaluate as E
+from hourloom.operators import explore as X
+from hourloom.operators import panel as P
+from hourloom.operators import tiers as T
+from hourloom.operators import windows as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Entities of the dense panel; members and folds of the prediction fixture.
+TYPES = ["click", "error", "purchase", "signup", "view"]
+MEMBERS = ["p1", "p2", "p3"]
+FOLD = ("1999-01-01", "1999-07-01")
+
+FACTS = """facts AS (
+  SELECT {entity} AS entity, date_trunc('hour', ts) AS hour, avg(value) AS x, avg(k) AS c, sum(CASE WHEN k < 10 THEN value ELSE 0 END) AS rain,
+         CAST(max(user_id % 16) AS INTEGER) AS wd, count(*) * 0.5::DOUBLE AS wspm
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY ALL
+), bounds AS (SELECT min(hour) AS lo, max(hour) AS hi FROM facts
+), grid AS (SELECT entity, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hour FROM (SELECT DISTINCT entity FROM facts), bounds
+), panel AS (SELECT g.entity, g.hour, CAST(date_diff('hour', b.lo, g.hour) AS INTEGER) AS pos, x, c, rain, wd, wspm, c / 2 - 10 AS temp, c / 4 - 12 AS dew
+  FROM grid g CROSS JOIN bounds b LEFT JOIN facts f ON f.entity = g.entity AND f.hour = g.hour)"""
+TYPE_SQL, USER_SQL = FACTS.format(entity="event_type"), FACTS.format(entity="user_id")
+WIN = "WINDOW w AS (PARTITION BY entity ORDER BY hour)"
+PRED = """pred AS (SELECT o_orderkey AS id, o_orderdate AS t, o_orderpriority AS priority, month(o_orderdate) AS month, o_totalprice AS y,
+  0.9::DOUBLE * o_totalprice + 3 AS p1, 1.05::DOUBLE * o_totalprice - 2 * (o_orderkey % 7) AS p2, o_totalprice + (o_orderkey % 11) - 5 AS p3 FROM orders)"""
+
+
+def register(sql: str | None = None, doubles: str = "") -> Callable:
+    """Register a query under the function's name; both sides round the named columns to six places."""
+
+    def add(build: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        names = doubles.split()
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return build(spark, sf_dir).withColumns({c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0) for c in names})
+
+        QUERIES[build.__name__] = run if names else build
+        if sql:
+            rounded = ", ".join(f'round("{c}"::DOUBLE, 6) + 0.0::DOUBLE AS "{c}"' for c in names)
+            ORACLES[build.__name__] = f"SELECT * REPLACE ({rounded}) FROM ({sql})" if names else sql
+        return build
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def panel(spark: SparkSession, sf_dir: str, entity: str = "event_type", own_bounds: bool = False) -> DataFrame:
+    out = P.dense(P.facts(read(spark, sf_dir, "events"), entity), own_bounds)
+    return out.withColumns({"temp": F.col("c") / 2 - 10, "dew": F.col("c") / 4 - 12})
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y, key = F.col("o_totalprice"), F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").select(
+        key.alias("id"), F.col("o_orderdate").alias("t"), F.col("o_orderpriority").alias("priority"), F.month("o_orderdate").alias("month"), y.alias("y"),
+        (y * 0.9 + 3).alias("p1"), (y * 1.05 - key % 7 * 2).alias("p2"), (y + key % 11 - 5).alias("p3"),
+    )
+
+
+def over(expressions: dict[str, str], source: str = "panel", base: str = TYPE_SQL) -> str:
+    said = ", ".join(f'{e} AS "{n}"' for n, e in expressions.items())
+    return f"WITH {base} SELECT entity, hour, {said} FROM {source} {WIN}"
+
+
+def features(name: str, build: Callable[[], T.Features], sql: dict[str, str], exact: tuple[str, ...] = ()) -> None:
+    """Register expressions over the dense panel under a name."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return panel(spark, sf_dir).select("entity", "hour", *[c.alias(n) for n, c in build().items()])
+
+    run.__name__ = name
+    register(over(sql), " ".join(n for n in sql if n not in exact))(run)
+
+
+# Panels and imputation
+
+
+@register(f"WITH {USER_SQL} SELECT entity, hour, x, c, rain, wd, wspm FROM facts", "x c rain wspm")
+def hourly_facts(spark, sf_dir):
+    return P.facts(read(spark, sf_dir, "events"), "user_id")
+
+
+@register(f"WITH {USER_SQL} SELECT entity, hour, pos, x FROM panel", "x")
+def panel_grid(spark, sf_dir):
+    return panel(spark, sf_dir, "user_id").select("entity", "hour", "pos", "x")
+
+
+OWN = f"""{USER_SQL}, own AS (SELECT entity, min(hour) AS lo, max(hour) AS hi FROM facts GROUP BY entity),
+cells AS (SELECT entity, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hour FROM own),
+owned AS (SELECT c.entity, c.hour, x FROM cells c LEFT JOIN facts f ON f.entity = c.entity AND f.hour = c.hour)"""
+
+
+@register(f"WITH {OWN} SELECT * FROM owned", "x")
+def entity_grid(spark, sf_dir):
+    return panel(spark, sf_dir, "user_id", True).select("entity", "hour", "x")
+
+
+@register(f"WITH {OWN} SELECT entity, count(*) AS hours, count(*) - count(x) AS absent FROM owned GROUP BY entity")
+def absent_hours(spark, sf_dir):
+    return panel(spark, sf_dir, "user_id", True).groupBy("entity").agg(F.count(F.lit(1)).alias("hours"), F.count_if(F.col("x").isNull()).alias("absent"))
+
+
+NULL_SQL = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", avg(CASE WHEN {c} IS NULL THEN 100.0::DOUBLE ELSE 0 END) AS null_pct FROM panel" for c in ("x", "c", "rain", "wd"))
+
+
+@register(f"WITH {USER_SQL} {NULL_SQL}", "null_pct")
+def null_rates(spark, sf_dir):
+    return X.null_rates(panel(spark, sf_dir, "user_id"), ["x", "c", "rain", "wd"])
+
+
+RUNNING = "OVER (PARTITION BY entity ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+AHEAD = "OVER (PARTITION BY entity ORDER BY hour DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+ENDS = ", ".join(f"last_value({v} IGNORE NULLS) {o} AS {n}" for c in ("x", "c") for v, s in ((c, "v"), (f"CASE WHEN {c} IS NOT NULL THEN pos END", "p")) for o, n in ((RUNNING, f"{s}0{c}"), (AHEAD, f"{s}1{c}")))
+FILL = ", ".join(f"coalesce({c}, CASE WHEN pos - p0{c} <= 6 THEN v0{c} + (v1{c} - v0{c}) * (pos - p0{c}) / (p1{c} - p0{c}) END) AS {c}" for c in ("x", "c"))
+FILLED = f"{USER_SQL}, ends AS (SELECT entity, hour, pos, x, c, {ENDS} FROM panel), filled AS (SELECT entity, hour, {FILL} FROM ends)"
+IMPUTED = f"""{FILLED}, city AS (SELECT hour, median(x) AS mx, median(c) AS mc FROM filled GROUP BY hour),
+ratio AS (SELECT entity, median(CASE WHEN mx <> 0 THEN x / mx END) AS rx, median(CASE WHEN mc <> 0 THEN c / mc END) AS rc FROM filled JOIN city USING (hour) GROUP BY entity),
+imputed AS (SELECT entity, hour, coalesce(x, mx * rx) AS x, coalesce(c, mc * rc) AS c FROM filled JOIN city USING (hour) JOIN ratio USING (entity))"""
+
+
+@register(f"WITH {FILLED} SELECT * FROM filled", "x c")
+def interpolate_limit6(spark, sf_dir):
+    return W.interpolate(panel(spark, sf_dir, "user_id"), ["x", "c"]).select("entity", "hour", "x", "c")
+
+
+@register(f"WITH {IMPUTED} SELECT * FROM imputed", "x c")
+def cross_entity_fill(spark, sf_dir):
+    return P.impute(panel(spark, sf_dir, "user_id"), ["x", "c"]).select("entity", "hour", "x", "c")
+
+
+@register(f"WITH {USER_SQL} SELECT entity, hour, CAST(x IS NULL AS INTEGER) AS E_x_was_null, CAST(c IS NULL AS INTEGER) AS E_c_was_null FROM panel")
+def was_null_flags(spark, sf_dir):
+    return panel(spark, sf_dir, "user_id").select("entity", "hour", *[c.alias(n) for n, c in T.was_null(["x", "c"]).items()])
+
+
+# Feature tiers
+
+
+def _calendar_sql() -> dict[str, str]:
+    heating = "CAST(month(hour) IN (12, 1, 2) OR (month(hour) = 11 AND day(hour) >= 15) OR (month(hour) = 3 AND day(hour) <= 15) AS INTEGER)"
+    out = {"A_hour": "CAST(hour(hour) AS INTEGER)", "A_dow": "CAST(isodow(hour) - 1 AS INTEGER)", "A_doy": "CAST(dayofyear(hour) AS INTEGER)", "A_month": "CAST(month(hour) AS INTEGER)", "A_is_weekend": "CAST(isodow(hour) >= 6 AS INTEGER)"}
+    for n, e, period in (("hour", "hour(hour)", "24"), ("doy", "dayofyear(hour)", "365.25::DOUBLE")):
+        out |= {f"A_{n}_{f}": f"{f}(2 * pi() * {e} / {period})" for f in ("sin", "cos")}
+    return out | {"A_heating": heating}
+
+
+features("tier_calendar", lambda: S.calendar(F.col("hour")), _calendar_sql(), ("A_hour", "A_dow", "A_doy", "A_month", "A_is_weekend", "A_heating"))
+_PRESSURE = "exp(17.625::DOUBLE * {0} / (243.04::DOUBLE + {0}))"
+features(
+    "tier_meteo",
+    lambda: T.meteo("temp", "dew", "wspm", "wd", "rain"),
+    {
+        "B_wind_u": "-wspm * sin(radians(wd * 22.5::DOUBLE))", "B_wind_v": "-wspm * cos(radians(wd * 22.5::DOUBLE))",
+        "B_wd_sin": "sin(radians(wd * 22.5::DOUBLE))", "B_wd_cos": "cos(radians(wd * 22.5::DOUBLE))",
+        "B_rh": f"CASE WHEN temp IS NOT NULL THEN least(greatest(100 * {_PRESSURE.format('dew')} / {_PRESSURE.format('temp')}, 0), 100) END",
+        "B_dewpoint_depression": "temp - dew", "B_is_raining": "CAST(rain > 0 AS INTEGER)", "B_stagnation": "1 / (wspm + 0.1::DOUBLE)",
+    },
+    ("B_is_raining",),
+)
+M = ("x", "c")
+features("lead_features", lambda: T.leads(M) | T.has_lead("x"), {f"C0_{m}_lead{k}": f"lead({m}, {k}) OVER w" for m in M for k in (1, 2, 3)} | {f"C0_{m}_delta1": f"lead({m}) OVER w - {m}" for m in M} | {"C0_has_lead": "CAST(lead(x) OVER w IS NOT NULL AS INTEGER)"}, ("C0_has_lead",))
+features("lag_features", lambda: T.lags(M), {f"C_{m}_lag{k}": f"lag({m}, {k}) OVER w" for m in M for k in T.LAGS})
+features("diff_features", lambda: T.diffs(M), {f"C_{m}_diff{k}": f"{m} - lag({m}, {k}) OVER w" for m in M for k in T.DIFFS})
+
+
+def _roll(f: str, m: str, width: int, least: int | None = None) -> str:
+    least = max(2, width // 3) if least is None else least
+    o = f"OVER (PARTITION BY entity ORDER BY hour ROWS BETWEEN {width - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({m}) {o} >= {least} THEN {f}({m}) {o} END"
+
+
+features("rolling_mean", lambda: T.rolling_means(M), {f"C_{m}_rmean{w}": _roll("avg", m, w) for m in M for w in T.MEANS})
+features("rolling_std", lambda: T.rolling_stds(M), {f"C_{m}_rstd{w}": _roll("stddev_samp", m, w) for m in M for w in T.STDS})
+features("level_vs_24h", lambda: T.level_vs_24h("x"), {"C_x_vs_24h": f"x / ({_roll('avg', 'x', 24)} + 1)"})
+_ACCEL = {f"G_{m}_lead{k}": f"lead({m}, {k}) OVER w" for m in M for k in (4, 5, 6)}
+for _m in M:
+    _ACCEL |= {f"G_{_m}_delta2": f"lead({_m}, 2) OVER w - {_m}", f"G_{_m}_delta3": f"lead({_m}, 3) OVER w - {_m}", f"G_{_m}_accel": f"(lead({_m}, 2) OVER w - lead({_m}) OVER w) - (lead({_m}) OVER w - {_m})"}
+features("accel_features", lambda: T.accelerations(M), _ACCEL)
+features("ratio_features", lambda: T.ratios("x", "c"), {"F_x_c_ratio": "x / (c + 1)", "F_x_c_product": "x * c", "F_x_share": "x / nullif(x + c, 0)"})
+features("observed_flags", lambda: T.observed(M), {f"H_{m}_obs": f"CAST(lead({m}) OVER w IS NOT NULL AS INTEGER)" for m in M} | {"H_obs_count": "CAST(lead(x) OVER w IS NOT NULL AS INTEGER) + CAST(lead(c) OVER w IS NOT NULL AS INTEGER)"}, ("H_x_obs", "H_c_obs", "H_obs_count"))
+features("raw_leads", lambda: T.raw_leads(["x"]), {"H_rawlead1_x": "lead(x) OVER w", "H_rawlead2_x": "lead(x, 2) OVER w", "H_rawnow_x": "x", "H_obs_now_x": "CAST(x IS NOT NULL AS INTEGER)"}, ("H_obs_now_x",))
+_CHANGE = "lead(temp) OVER w - lag(temp, 12) OVER w"
+features("stability_proxy", lambda: T.stability("temp"), {"H_inv_change12": _CHANGE, "H_inv_clipped": f"CASE WHEN {_CHANGE} < -10 THEN -10 WHEN {_CHANGE} > 10 THEN 10 ELSE {_CHANGE} END"})
+_BEFORE = "OVER (PARTITION BY entity ORDER BY hour ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)"
+_ROLL6 = f"CASE WHEN count(x) {_BEFORE} >= 2 THEN avg(x) {_BEFORE} END"
+features("stage2_hats", lambda: T.stage_two("x"), {f"S_lag{k}": f"lag(x, {k}) OVER w" for k in (1, 2, 3, 6)} | {"S_trend1": "x - lag(x) OVER w", "S_trend3": "x - lag(x, 3) OVER w", "S_roll6": _ROLL6, "S_vs_roll6": f"x - {_ROLL6}"})
+features("hours_since_event", lambda: {"H_hours_since_rain": W.hours_since(F.col("rain") > 0)}, {"H_hours_since_rain": f"least(coalesce(pos - max(CASE WHEN rain > 0 THEN pos END) {RUNNING}, 999), 999)"}, ("H_hours_since_rain",))
+features("smooth_predictions", lambda: {f"smooth{w}": F.avg("x").over(W.frame(-(w // 2), w // 2)) for w in (3, 5)}, {f"smooth{w}": f"avg(x) OVER (PARTITION BY entity ORDER BY hour ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING)" for w in (3, 5)})
+features("previous_target_guarded", lambda: {"now": F.when(F.timestamp_diff("SECOND", W.lag("hour", 1), F.col("hour")) == 3600, W.lag("x", 1))}, {"now": "CASE WHEN date_diff('second', lag(hour) OVER w, hour) = 3600 THEN lag(x) OVER w END"})
+
+CITY = f"{TYPE_SQL}, city AS (SELECT hour, avg(x) AS mean, median(x) AS med, stddev_samp(x) AS std, max(x) AS max, max(x) - min(x) AS range, count(x) AS reporting FROM panel GROUP BY hour), wide AS (SELECT * FROM panel JOIN city USING (hour))"
+CITY_COLUMNS = [f"D_x_city_{k}" for k in ("mean", "med", "std", "max", "range")]
+
+
+@register(f"WITH {CITY} SELECT entity, hour, " + ", ".join(f'"{c.rsplit("_", 1)[1]}" AS {c}' for c in CITY_COLUMNS) + " FROM wide", " ".join(CITY_COLUMNS))
+def city_aggregates(spark, sf_dir):
+    return T.with_city(panel(spark, sf_dir), ["x"]).select("entity", "hour", *CITY_COLUMNS)
+
+
+@register(f"WITH {CITY} SELECT entity, hour, x - mean AS D_x_anom FROM wide", "D_x_anom")
+def city_anomaly(spark, sf_dir):
+    return T.with_city(panel(spark, sf_dir), ["x"]).select("entity", "hour", "D_x_anom")
+
+
+CITY_SHIFTS = {
+    "D_x_city_mean_lead1": "lead(mean) OVER w", "D_x_city_mean_lag1": "lag(mean) OVER w", "D_x_city_mean_diff1": "mean - lag(mean) OVER w",
+    "G_x_city_lead2": "lead(mean, 2) OVER w", "G_x_lead_anom": "lead(x) OVER w - lead(mean) OVER w", "G_x_city_range_lead1": "lead(range) OVER w",
+}
+
+
+@register(over(CITY_SHIFTS, "wide", CITY), " ".join(CITY_SHIFTS))
+def city_lead_lag(spark, sf_dir):
+    wide = T.with_city(panel(spark, sf_dir), ["x"])
+    return wide.select("entity", "hour", *[c.alias(n) for n, c in T.city_lead_lag(["x"]).items()])
+
+
+@register(over({"H_city_obs": "lead(reporting) OVER w"}, "wide", CITY))
+def city_observed_count(spark, sf_dir):
+    return P.with_hourly(panel(spark, sf_dir), _n=F.count("x")).select("entity", "hour", W.lead("_n", 1).alias("H_city_obs"))
+
+
+AHEAD3 = f"{TYPE_SQL}, ahead AS (SELECT *, lead(x, 3) OVER w AS a, lead(x) OVER w AS next, lead(rain) OVER w AS nr FROM panel {WIN})"
+CENTRED = {f"H_x_cw5_{n}": _roll(f, "a", 5, 2) for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))}
+CENTRED["H_x_cw5_pos"] = f"(next - {CENTRED['H_x_cw5_mean']}) / ({CENTRED['H_x_cw5_std']} + 1)"
+
+
+@register(over(CENTRED, "ahead", AHEAD3), " ".join(CENTRED))
+def centred_window(spark, sf_dir):
+    return T.centred(panel(spark, sf_dir), "x").select("entity", "hour", *CENTRED)
+
+
+@register(over({f"H_rain_sum{w}": _roll("sum", "nr", w, 1) for w in (6, 24)}, "ahead", AHEAD3), "H_rain_sum6 H_rain_sum24")
+def rolling_shifted_sum(spark, sf_dir):
+    return T.shifted_sums(panel(spark, sf_dir), "rain").select("entity", "hour", "H_rain_sum6", "H_rain_sum24")
+
+
+# Profiles
+
+
+@register(
+    f"""WITH {USER_SQL}, r AS (SELECT entity, run, count(*) AS n FROM (SELECT entity, hour, v, sum(new) OVER (PARTITION BY entity ORDER BY hour) AS run FROM (SELECT entity, hour, x IS NULL AS v,
+  CAST((x IS NULL) IS DISTINCT FROM (lag(x IS NULL) OVER w) AS INTEGER) AS new FROM panel {WIN})) WHERE v GROUP BY entity, run)
+SELECT entity, count(*) AS runs, median(n) AS median, quantile_cont(n, 0.9) AS p90, max(n) AS longest, sum(CASE WHEN n > 6 THEN n ELSE 0 END) / sum(n)::DOUBLE AS long_share FROM r GROUP BY entity""",
+    "median p90 long_share",
+)
+def null_run_lengths(spark, sf_dir):
+    return X.null_run_lengths(panel(spark, sf_dir, "user_id"), "x")
+
+
+@register(f"""WITH {TYPE_SQL}, r AS (SELECT entity, run, count(wd) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY entity ORDER BY hour) AS run FROM (SELECT entity, hour, wd, CAST(wd IS DISTINCT FROM lag(wd) OVER w AS INTEGER) AS new FROM panel {WIN})) GROUP BY ALL)
+SELECT entity, max(n) AS longest FROM r GROUP BY entity""")
+def frozen_runs(spark, sf_dir):
+    return X.frozen_runs(panel(spark, sf_dir), "wd")
+
+
+OFFSETS = [1, 3, 24]
+
+
+@register(f"WITH {TYPE_SQL} " + " UNION ALL ".join(f"SELECT {k} AS \"offset\", avg(r) AS r FROM (SELECT entity, corr(x, l) AS r FROM (SELECT entity, x, lag(x, {k}) OVER w AS l FROM panel {WIN}) GROUP BY entity)" for k in OFFSETS), "r")
+def autocorrelation(spark, sf_dir):
+    return X.autocorrelation(panel(spark, sf_dir), "x", OFFSETS)
+
+
+@register(f"WITH {CITY} SELECT entity, corr(x, before) AS r_lag3, corr(x, after) AS r_lead3 FROM (SELECT entity, x, lag(mean, 3) OVER w AS before, lead(mean, 3) OVER w AS after FROM wide {WIN}) GROUP BY entity", "r_lag3 r_lead3")
+def lead_lag_correlation(spark, sf_dir):
+    wide = P.with_hourly(panel(spark, sf_dir), mean=F.avg("x"))
+    return wide.withColumns({"before": W.lag("mean", 3), "after": W.lead("mean", 3)}).groupBy("entity").agg(F.corr("x", "before").alias("r_lag3"), F.corr("x", "after").alias("r_lead3"))
+
+
+@register(f"WITH {TYPE_SQL} SELECT hour, " + ", ".join(f"avg(CASE WHEN entity = '{e}' THEN x END) AS \"{e}\"" for e in TYPES) + " FROM panel GROUP BY hour", " ".join(TYPES))
+def pivot_hour_entity(spark, sf_dir):
+    return panel(spark, sf_dir).groupBy("hour").pivot("entity", TYPES).agg(F.avg("x"))
+
+
+@register(f"WITH {TYPE_SQL} SELECT a.entity AS a, b.entity AS b, corr(a.x, b.x) AS r FROM panel a JOIN panel b ON a.hour = b.hour AND a.entity < b.entity GROUP BY ALL", "r")
+def pairwise_correlation(spark, sf_dir):
+    return X.pairwise_correlation(panel(spark, sf_dir), "x", TYPES)
+
+
+@register(f"WITH {TYPE_SQL}, s AS (SELECT hour, sum(x) AS s, count(x) AS n FROM panel GROUP BY hour) SELECT entity, hour, (s - coalesce(x, 0)) / nullif(n - CAST(x IS NOT NULL AS INTEGER), 0) AS others FROM panel JOIN s USING (hour)", "others")
+def leave_one_out_mean(spark, sf_dir):
+    return X.leave_one_out(panel(spark, sf_dir), "x").select("entity", "hour", "others")
+
+
+@register("SELECT CAST(l_quantity AS BIGINT)::VARCHAR AS value, count(*) AS n, count(*) / (sum(count(*)) OVER ())::DOUBLE AS share FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY CAST(l_quantity AS BIGINT) ORDER BY n DESC, CAST(l_quantity AS BIGINT) LIMIT 8", "share")
+def value_counts_top(spark, sf_dir):
+    return X.value_counts(read(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("long").alias("q")), "q")
+
+
+@register(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS \"distinct\", bool_and({c} % 1 = 0) AS whole, min({c})::DOUBLE AS least, max({c})::DOUBLE AS most FROM lineitem" for c in ("l_quantity", "l_discount", "l_partkey")), "least most")
+def distinct_and_granularity(spark, sf_dir):
+    return X.distinct_and_granularity(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_partkey"])
+
+
+@register("SELECT o_orderpriority AS priority, " + ", ".join(f"quantile_cont(o_totalprice, {q / 100}) AS q{q}" for q in (1, 25, 50, 75, 99)) + " FROM orders GROUP BY 1", "q1 q25 q50 q75 q99")
+def quantile_profile(spark, sf_dir):
+    q = F.percentile("o_totalprice", F.array(*[F.lit(v / 100) for v in (1, 25, 50, 75, 99)]))
+    return read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(q.alias("q")).select("priority", *[F.col("q")[i].alias(f"q{v}") for i, v in enumerate((1, 25, 50, 75, 99))])
+
+
+@register("SELECT o_orderpriority AS priority, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS sd, skewness(o_totalprice) AS skew, skewness(ln(1 + o_totalprice)) AS log_skew FROM orders GROUP BY 1", "mean sd skew log_skew")
+def skew_profile(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("v"), F.log1p("o_totalprice").alias("l"))
+    return rows.groupBy("priority").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), X.skewness("v").alias("skew"), X.skewness("l").alias("log_skew"))
+
+
+@register("WITH r AS (SELECT pow(o_totalprice - avg(o_totalprice) OVER (), 2) AS d, row_number() OVER (ORDER BY o_totalprice DESC) AS k, count(*) OVER () AS n FROM orders) SELECT sum(CASE WHEN k <= floor(n * 0.05::DOUBLE) THEN d ELSE 0 END) / sum(d) AS share FROM r", "share")
+def variance_share_top(spark, sf_dir):
+    return X.variance_share(read(spark, sf_dir, "orders"), "o_totalprice", 0.05)
+
+
+@register("SELECT CAST(isodow(o_orderdate) - 1 AS INTEGER) AS dow, count(*) AS n, avg(o_totalprice) AS mean FROM orders GROUP BY 1", "mean")
+def mean_by_calendar(spark, sf_dir):
+    return read(spark, sf_dir, "orders").groupBy(F.weekday("o_orderdate").alias("dow")).agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean"))
+
+
+@register("SELECT CAST(CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END AS INTEGER) AS season, count(*) AS n, avg(o_totalprice) AS mean, median(o_totalprice) AS median FROM orders WHERE month(o_orderdate) IN (9, 10, 11, 12, 1, 2) GROUP BY 1", "mean median")
+def season_year_stats(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").filter(F.month("o_orderdate").isin(9, 10, 11, 12, 1, 2))
+    season = F.when(F.month("o_orderdate") >= 9, F.year("o_orderdate")).otherwise(F.year("o_orderdate") - 1)
+    return rows.groupBy(season.alias("season")).agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean"), F.median("o_totalprice").alias("median"))
+
+
+@register(f"WITH {TYPE_SQL} SELECT wd, avg(CASE WHEN wspm <= 1 THEN x END) AS calm, avg(CASE WHEN wspm > 1 THEN x END) AS windy FROM panel WHERE wd IS NOT NULL GROUP BY wd", "calm windy")
+def two_key_unstack(spark, sf_dir):
+    rows = panel(spark, sf_dir).filter("wd is not null").withColumn("kind", F.when(F.col("wspm") > 1, "windy").otherwise("calm"))
+    return rows.groupBy("wd").pivot("kind", ["calm", "windy"]).agg(F.avg("x"))
+
+
+EDGES = [0, 0.5, 1, 1.5, 2, 3, 4, 6, 100]
+
+
+@register(f"WITH {TYPE_SQL} SELECT CASE " + " ".join(f"WHEN wspm > {a} AND wspm <= {b} THEN {i}" for i, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False))) + " END AS bin, count(*) AS n, avg(x) AS mean FROM panel WHERE wspm IS NOT NULL GROUP BY 1", "mean")
+def fixed_bins(spark, sf_dir):
+    return panel(spark, sf_dir).filter("wspm is not null").groupBy(S.bins(F.col("wspm"), EDGES).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
+
+
+QCUT = f"WITH {PRED}, e AS (SELECT " + ", ".join(f"quantile_cont(y, {i / 10}) AS e{i}" for i in range(1, 10)) + " FROM pred), b AS (SELECT *, " + " + ".join(f"CAST(y > e{i} AS INTEGER)" for i in range(1, 10)) + " AS bucket FROM pred, e)"
+
+
+@register(QCUT + " SELECT bucket, count(*) AS n, avg(y) AS mean FROM b GROUP BY bucket", "mean")
+def qcut_profile(spark, sf_dir):
+    return W.quantile_bucket(predictions(spark, sf_dir), "y", 10, "bucket").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
+
+
+@register("SELECT o_orderpriority AS priority, avg(o_totalprice) FILTER (o) AS old_mean, avg(o_totalprice) FILTER (NOT o) AS new_mean, median(o_totalprice) FILTER (o) AS old_median, median(o_totalprice) FILTER (NOT o) AS new_median, (avg(o_totalprice) FILTER (NOT o) / avg(o_totalprice) FILTER (o) - 1) * 100 AS change_pct FROM (SELECT *, o_orderdate < TIMESTAMP '1999-01-01' AS o FROM orders) GROUP BY 1", "old_mean new_mean old_median new_median change_pct")
+def drift_table(spark, sf_dir):
+    old = F.when(F.col("t") < F.lit(FOLD[0]).cast("timestamp_ntz"), F.col("y"))
+    new = F.when(F.col("t") >= F.lit(FOLD[0]).cast("timestamp_ntz"), F.col("y"))
+    out = predictions(spark, sf_dir).groupBy("priority").agg(F.avg(old).alias("old_mean"), F.avg(new).alias("new_mean"), F.median(old).alias("old_median"), F.median(new).alias("new_median"))
+    return out.withColumn("change_pct", (F.try_divide("new_mean", "old_mean") - 1) * 100)
+
+
+# Evaluation
+
+PART = "CASE WHEN t < TIMESTAMP '1999-01-01' THEN 'train' WHEN t < TIMESTAMP '1999-07-01' THEN 'valid' END"
+
+
+@register(f"WITH {PRED} SELECT {PART} AS part, count(*) AS n, min(t) AS first, max(t) AS last FROM pred WHERE t < TIMESTAMP '1999-07-01' GROUP BY 1")
+def fold_split_counts(spark, sf_dir):
+    rows = predictions(spark, sf_dir).withColumn("part", E.fold_part("t", *FOLD)).filter("part is not null")
+    return rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+
+
+@register(f"WITH {PRED} SELECT {PART} AS part, " + ", ".join(f"sqrt(avg(pow(y - {m}, 2))) AS {m}" for m in MEMBERS) + " FROM pred WHERE t < TIMESTAMP '1999-07-01' GROUP BY 1", "p1 p2 p3")
+def rmse_by_fold(spark, sf_dir):
+    rows = predictions(spark, sf_dir).withColumn("part", E.fold_part("t", *FOLD)).filter("part is not null")
+    return rows.groupBy("part").agg(*[E.rmse("y", m).alias(m) for m in MEMBERS])
+
+
+@register(QCUT + " " + " UNION ALL ".join(f"SELECT '{k}' AS kind, {k}::VARCHAR AS key, count(*) AS n, sqrt(avg(pow(y - p1, 2))) AS rmse FROM b GROUP BY {k}" for k in ("month", "priority", "bucket")), "rmse")
+def error_breakdowns(spark, sf_dir):
+    return E.breakdowns(W.quantile_bucket(predictions(spark, sf_dir), "y", 10, "bucket"), ["month", "priority", "bucket"], "y", "p1")
+
+
+@register(f"WITH {TYPE_SQL} SELECT sqrt(avg(pow(x - before, 2))) AS rmse, count(*) AS n FROM (SELECT x, lag(x) OVER w AS before FROM panel {WIN}) WHERE x IS NOT NULL AND before IS NOT NULL", "rmse")
+def persistence_rmse(spark, sf_dir):
+    rows = panel(spark, sf_dir).select("x", W.lag("x", 1).alias("before")).filter("x is not null and before is not null")
+    return rows.agg(E.rmse("x", "before").alias("rmse"), F.count(F.lit(1)).alias("n"))
+
+
+@register(f"WITH {PRED} SELECT id, (p1 + p2 + p3) / 3 AS p FROM pred", "p")
+def seed_average(spark, sf_dir):
+    long = E.long_predictions(predictions(spark, sf_dir), "id", MEMBERS)
+    return long.groupBy("id").agg(F.avg("p").alias("p"))
+
+
+@register(
+    f"WITH {PRED}, r AS (" + " UNION ALL ".join(f"SELECT {len(c)} AS k, sqrt(avg(pow(y - ({' + '.join(c)}) / {len(c)}, 2))) AS rmse FROM pred" for c in (("p1",), ("p2",), ("p3",), ("p1", "p2"), ("p1", "p3"), ("p2", "p3"), ("p1", "p2", "p3"))) + ") SELECT k, avg(rmse) AS mean, stddev_pop(rmse) AS sd, min(rmse) AS best FROM r GROUP BY k",
+    "mean sd best",
+)
+def seed_curve(spark, sf_dir):
+    return E.seed_curve(predictions(spark, sf_dir), MEMBERS)
+
+
+@register(f"WITH {PRED} SELECT id, p1 * 0.5::DOUBLE + p2 * 0.25::DOUBLE + p3 * 0.25::DOUBLE AS p FROM pred", "p")
+def blend_value(spark, sf_dir):
+    return predictions(spark, sf_dir).select("id", E.blend_value(MEMBERS, [2, 1, 1]).alias("p"))
+
+
+@register(f"WITH {PRED} SELECT id, (" + " + ".join(f"(rank() OVER (ORDER BY {m}) + (count(*) OVER (PARTITION BY {m}) - 1) / 2.0::DOUBLE) / count(*) OVER ()" for m in MEMBERS) + ") / 3 AS rank FROM pred", "rank")
+def blend_rank(spark, sf_dir):
+    return E.blend_rank(predictions(spark, sf_dir), MEMBERS).select("id", "rank")
+
+
+@register(f"WITH {PRED}, s AS (SELECT unnest(range(0, 21)) AS i), w AS (SELECT a.i AS w0, b.i AS w1, 20 - a.i - b.i AS w2 FROM s a, s b WHERE a.i + b.i <= 20) SELECT CAST(w0 AS INTEGER) AS w0, CAST(w1 AS INTEGER) AS w1, CAST(w2 AS INTEGER) AS w2, sqrt(avg(pow((p1 * w0 + p2 * w1 + p3 * w2) / 20 - y, 2))) AS rmse FROM pred, w GROUP BY ALL", "rmse")
+def blend_grid(spark, sf_dir):
+    return E.blend_grid(predictions(spark, sf_dir), MEMBERS)
+
+
+@register(f"WITH {PRED} " + " UNION ALL ".join(f"SELECT '{m}' AS member, corr({m} - y, (p1 + p2 + p3) / 3 - y) AS r FROM pred" for m in MEMBERS), "r")
+def pool_error_corr(spark, sf_dir):
+    rows = predictions(spark, sf_dir).withColumn("pool", (F.col("p1") + F.col("p2") + F.col("p3")) / 3 - F.col("y"))
+    return rows.agg(*[F.corr(F.col(m) - F.col("y"), "pool").alias(m) for m in MEMBERS]).unpivot([], MEMBERS, "member", "r")
+
+
+@register(f"WITH {PRED}, e AS (SELECT quantile_cont(p1, 0.9) AS e FROM pred) SELECT id, CASE WHEN p1 > e THEN e + (p1 - e) * 1.1::DOUBLE ELSE p1 END AS p FROM pred, e", "p")
+def stretch_spikes(spark, sf_dir):
+    return E.stretch(predictions(spark, sf_dir), "p1", 0.9, 1.1, "p").select("id", "p")
+
+
+SCALES = [0.95, 1.0, 1.05, 1.1]
+
+
+@register(f"WITH {PRED}, v AS (SELECT unnest([0.95, 1.0, 1.05, 1.1])::DOUBLE AS scale), r AS (SELECT scale, sqrt(avg(pow(y - p1 * scale, 2)) FILTER (t < TIMESTAMP '1999-01-01')) AS a, sqrt(avg(pow(y - p1 * scale, 2)) FILTER (t >= TIMESTAMP '1999-01-01')) AS b FROM pred, v GROUP BY scale), z AS (SELECT a AS a0, b AS b0 FROM r WHERE scale = 1) SELECT scale, a - a0 AS delta_a, b - b0 AS delta_b, a < a0 AND b < b0 AS improves, greatest(a - a0, b - b0) AS worst FROM r, z", "scale delta_a delta_b worst")
+def postproc_sweep(spark, sf_dir):
+    early = F.col("t") < F.lit(FOLD[0]).cast("timestamp_ntz")
+    squared = lambda s: F.pow(F.col("y") - F.col("p1") * s, F.lit(2.0))
+    one = predictions(spark, sf_dir).agg(*[F.sqrt(F.avg(F.when(early if f == "a" else ~early, squared(s)))).alias(f"{f}{i}") for i, s in enumerate(SCALES) for f in "ab"])
+    base = SCALES.index(1.0)
+    rows = [F.struct(F.lit(s).alias("scale"), (F.col(f"a{i}") - F.col(f"a{base}")).alias("delta_a"), (F.col(f"b{i}") - F.col(f"b{base}")).alias("delta_b")) for i, s in enumerate(SCALES)]
+    out = one.select(F.inline(F.array(*rows)))
+    return out.withColumns({"improves": (F.col("delta_a") < 0) & (F.col("delta_b") < 0), "worst": F.greatest("delta_a", "delta_b")})
+
+
+@register(f"WITH {PRED} SELECT CAST(floor(date_diff('hour', TIMESTAMP '1970-01-01', t) / 24.0) AS BIGINT) AS block, sum(pow(p1 - y, 2) - pow(p2 - y, 2)) AS total, count(*) AS n FROM pred GROUP BY 1", "total")
+def paired_block_sums(spark, sf_dir):
+    return E.paired_blocks(predictions(spark, sf_dir), "t", "p1", "p2")
+
+
+@register()
+def paired_bootstrap_ci(spark, sf_dir):
+    return E.bootstrap(E.paired_blocks(predictions(spark, sf_dir), "t", "p1", "p2"))
+
+
+@register(f"WITH {PRED} SELECT regr_slope(y, p2) AS slope, regr_intercept(y, p2) AS intercept, corr(y, p2) AS r FROM pred", "slope intercept r")
+def linear_fit(spark, sf_dir):
+    return predictions(spark, sf_dir).agg(F.regr_slope("y", "p2").alias("slope"), F.regr_intercept("y", "p2").alias("intercept"), F.corr("y", "p2").alias("r"))
+
+
+def _rank_sql(m: str) -> str:
+    return f"rank() OVER (ORDER BY {m}) + (count(*) OVER (PARTITION BY {m}) - 1) / 2.0::DOUBLE"
+
+
+@register(f"WITH {PRED} SELECT corr(a, b) AS r FROM (SELECT {_rank_sql('y')} AS a, {_rank_sql('p3')} AS b FROM pred)", "r")
+def spearman(spark, sf_dir):
+    rows = W.average_rank(W.average_rank(predictions(spark, sf_dir), "y", "a"), "p3", "b")
+    return rows.agg(F.corr("a", "b").alias("r"))
+
+
+@register(f"WITH {PRED}, r AS (SELECT CAST(month <= 6 AS INTEGER) AS label, {_rank_sql('p2')} AS k FROM pred) SELECT (sum(k) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label) * (count(*) - sum(label))) AS auc FROM r", "auc")
+def adversarial_auc(spark, sf_dir):
+    return E.auc(predictions(spark, sf_dir).withColumn("label", (F.col("month") <= 6).cast("int")), "p2", "label")
+
+
+@register(f"WITH {PRED} SELECT id, 1 + 2 * y / avg(y) OVER () AS weight, ln(1 + y) AS log_y, sqrt(y) AS root_y FROM pred", "weight log_y root_y")
+def target_weights(spark, sf_dir):
+    rows = predictions(spark, sf_dir)
+    mean = rows.agg(F.avg("y").alias("_mean"))
+    return rows.crossJoin(F.broadcast(mean)).select("id", (1 + F.col("y") * 2 / F.col("_mean")).alias("weight"), S.transform_target(F.col("y"), "log1p").alias("log_y"), S.transform_target(F.col("y"), "sqrt").alias("root_y"))
+
+
+@register(f"""WITH {PRED}, result AS (SELECT id, CASE WHEN id % 50 = 0 THEN NULL WHEN id % 50 = 1 THEN -1 ELSE p1 END AS p FROM pred WHERE id % 10 <> 3)
+SELECT 'null_value' AS problem, count(*) FILTER (p IS NULL) AS n FROM result UNION ALL SELECT 'not_finite', count(*) FILTER (isnan(p) OR isinf(p)) FROM result
+UNION ALL SELECT 'negative', count(*) FILTER (p < 0) FROM result UNION ALL SELECT 'repeated_or_null_key', count(*) - count(DISTINCT id) FROM result
+UNION ALL SELECT 'missing_key', count(*) FROM pred WHERE id NOT IN (SELECT id FROM result) UNION ALL SELECT 'unknown_key', 0""")
+def result_checks(spark, sf_dir):
+    rows = predictions(spark, sf_dir)
+    value = F.when(F.col("id") % 50 == 0, F.lit(None)).when(F.col("id") % 50 == 1, F.lit(-1.0)).otherwise(F.col("p1"))
+    return E.result_problems(rows.filter("id % 10 <> 3").select("id", value.alias("p")), rows.select("id"), "id", "p")
+
+
+def flagship(spark: SparkSession, sf_dir: str, entity: str = "event_type") -> DataFrame:
+    """Imputed panel with leads, lags, differences, rolling, city and ratio columns."""
+    wide = T.with_city(P.impute(panel(spark, sf_dir, entity), ["x", "c"]), ["x", "c"])
+    m = ["x", "c"]
+    made = T.leads(m) | T.lags(m) | T.diffs(m) | T.rolling_means(m) | T.rolling_stds(m) | T.city_lead_lag(m) | T.ratios("x", "c")
+    return wide.select("entity", "hour", "x", "c", *[n for n in wide.columns if n.startswith("D_")], *[c.alias(n) for n, c in made.items()])
+
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+QUERIES["flagship_panel"] = partial(flagship, entity="user_id")
