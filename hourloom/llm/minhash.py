@@ -8,8 +8,8 @@ below ``MISS`` at the threshold.
 
 Equal sets are one class with one node. Candidates are verified on full shingle sets (64-bit hashes of
 the shingles), in rounds that avoid all pairs of a group: first each node with its bucket's smallest, then
-with its bucket's best linked one; only where a bucket's nodes are still in several components are the
-pairs across them compared. Components come from alternating large and small stars.
+with its bucket's best linked one; only where a bucket's nodes are still in several components are
+pairs across them compared, where the shingles that no other open node holds leave room for a link. Components come from alternating large and small stars.
 
 Keys that hold over a thousandth of the rows, of which there can't be over a thousand, are looked up by
 broadcast, others by a shuffle, so a hot key never lands in one task.
@@ -152,6 +152,24 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long").distinct()
 
 
+def unique_counts(docs: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
+    """rep, alone: shingles of these documents that none of the others holds (0 for ids of several rows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words, percent)
+        for batch in batches:
+            for k in range(0, len(batch), FEW):
+                few = batch.slice(k, FEW)
+                sets = [shingles.of(t.as_py()).view(np.int64) for t in few.column("text")]
+                yield pa.RecordBatch.from_arrays([few.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+
+    texts = docs.join(ids.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text")
+    held = texts.mapInArrow(run, "id long, set array<long>").select("id", F.explode("set").alias("shingle"))
+    alone = held.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    once = texts.groupBy("id").agg(F.count(F.lit(1)).alias("texts")).filter("texts = 1")
+    return alone.join(once, "id").select(F.col("id").alias("rep"), "alone")
+
+
 def components(edges: DataFrame, at: str) -> DataFrame:
     """u, root (the smallest node reached) of every node that isn't its own root."""
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), f"{at}/0")
@@ -191,7 +209,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     pairs = entries.filter((F.col("rep") != F.col("leader")) & near(F.col("n"), F.col("leader_n"))).select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
     pairs = materialize(pairs, f"{at}/pairs-1")
-    same = classes.select(F.col("rep").alias("u")).limit(0).withColumn("v", F.col("u"))
     repeated = sets.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("rows_of"))
     several = repeated.groupBy("id").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("id")
     same = repeated.join(several, "id").join(classes.select("digest", "rep"), "digest").select(F.col("id").alias("u"), F.col("rep").alias("v")).filter("u <> v")
@@ -215,11 +232,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     links = materialize(verified(second, docs, words, percent), f"{at}/links-2")
     roots = components(links.unionByName(roots.select("u", F.col("root").alias("v"))), f"{at}/components-2")
 
-    # The rest, exactly: pairs across components that share a bucket and aren't compared yet.
+    # The rest, exactly: pairs across components that share a bucket and aren't compared yet. Shingles that no
+    # other open node holds can't be shared, which bounds a node's likeness to any other, and a pair's.
     left = placed(roots, "left-3")
-    x = left.select("key", F.col("rep").alias("u"), F.col("n").alias("un"), F.col("root").alias("ur"))
-    y = left.select("key", F.col("rep").alias("v"), F.col("n").alias("vn"), F.col("root").alias("vr"))
-    third = x.join(y, "key").filter((F.col("u") > F.col("v")) & (F.col("ur") != F.col("vr")) & near(F.col("un"), F.col("vn"))).select("u", "v").distinct()
+    alone = materialize(unique_counts(docs, left, words, percent), f"{at}/alone")
+    common = F.col("n") - F.coalesce("alone", F.lit(0))
+    left = left.join(alone, "rep", "left").withColumn("common", common).filter(F.col("common") * 100 >= F.col("n") * percent)
+    left = materialize(left, f"{at}/bounded")
+    x = left.select("key", F.col("rep").alias("u"), F.col("n").alias("un"), F.col("root").alias("ur"), F.col("common").alias("uc"))
+    y = left.select("key", F.col("rep").alias("v"), F.col("n").alias("vn"), F.col("root").alias("vr"), F.col("common").alias("vc"))
+    most = F.least("uc", "vc", "un", "vn")
+    bound = most * 100 >= (F.col("un") + F.col("vn") - most) * percent
+    third = x.join(y, "key").filter((F.col("u") > F.col("v")) & (F.col("ur") != F.col("vr")) & bound).select("u", "v").distinct()
     tested = pairs.unionByName(second)
     tested = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     third = materialize(third.join(tested, ["u", "v"], "left_anti"), f"{at}/pairs-3")
