@@ -9,7 +9,9 @@ below ``MISS`` at the threshold.
 Equal sets are one class with one node. Candidates are verified on full shingle sets (64-bit hashes of
 the shingles), in rounds that avoid all pairs of a group: first each node with its bucket's smallest, then
 with its bucket's best linked one; only where a bucket's nodes are still in several components are
-pairs across them compared, where the shingles that no other open node holds leave room for a link. Components come from alternating large and small stars.
+pairs across them compared, each in the first table it shares. Shingles that at most ``RARE`` open nodes hold are
+counted exactly for the pairs that share any; all others of a pair number at most the fewer of either node's, which
+bounds its likeness and leaves out pairs that can't link. Components come from alternating large and small stars.
 
 Keys that hold over a thousandth of the rows, of which there can't be over a thousand, are looked up by
 broadcast, others by a shuffle, so a hot key never lands in one task.
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm.common import materialize, shared_dir, ship, table
@@ -39,6 +41,8 @@ QUERY_WORDS, QUERY_PERCENT = 3, 85
 #: Minhashes of a half key; chance of a missed link at the threshold; words that a task remembers.
 HALF, MISS, CACHED_WORDS = 2, 2e-5, 1_000_000
 NO_ID = (1 << 63) - 1
+#: A shingle that at most so many open nodes hold is rare.
+RARE = 8
 #: Texts worked on together; keys with more than this part of the rows are looked up by broadcast.
 FEW, HOT = 64, 1000
 
@@ -152,8 +156,8 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long").distinct()
 
 
-def unique_counts(docs: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
-    """rep, alone: shingles of these documents that none of the others holds (0 for ids of several rows)."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
+    """id and set of each text of these documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words, percent)
@@ -163,11 +167,47 @@ def unique_counts(docs: DataFrame, ids: DataFrame, words: int, percent: int) ->
                 sets = [shingles.of(t.as_py()).view(np.int64) for t in few.column("text")]
                 yield pa.RecordBatch.from_arrays([few.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 
-    texts = docs.join(ids.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text")
-    held = texts.mapInArrow(run, "id long, set array<long>").select("id", F.explode("set").alias("shingle"))
-    alone = held.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    once = texts.groupBy("id").agg(F.count(F.lit(1)).alias("texts")).filter("texts = 1")
-    return alone.join(once, "id").select(F.col("id").alias("rep"), "alone")
+    return docs.join(ids.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, set array<long>")
+
+
+def last_pairs(left: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, at: str) -> DataFrame:
+    """u, v: pairs of open nodes in different components that may be alike enough."""
+    texts = materialize(shingle_sets(docs, left, words, percent), f"{at}/open-sets")
+    held = texts.select("id", F.explode("set").alias("shingle"))
+    holders = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows_of")).filter(f"rows_of <= {RARE} or rows_of > 100")
+    rare = looked_up(held, holders.withColumn("holders", F.col("rows_of")), "shingle", f"{at}/holders").filter(F.col("holders") <= RARE)
+    rare = materialize(rare.select("id", "shingle", "holders"), f"{at}/rare")
+
+    # An id of several texts has no counts of its own: all its shingles may be shared.
+    counts = rare.groupBy("id").agg(F.count(F.lit(1)).alias("rare"), F.count_if(F.col("holders") == 1).alias("alone"))
+    once = texts.groupBy("id").agg(F.count(F.lit(1)).alias("texts")).filter("texts = 1").select("id")
+    counts = counts.join(once, "id").withColumnRenamed("id", "rep")
+    nodes = left.select("rep", "n", "root").distinct().join(counts, "rep", "left")
+    nodes = nodes.select("rep", "n", "root", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("other"), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    nodes = materialize(nodes.filter(F.col("shared") * 100 >= F.col("n") * percent).drop("shared"), f"{at}/nodes")
+
+    def side(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+        return rows.select(*keys, *[F.col(c).alias(name + c) for c in rows.columns if c not in keys])
+
+    def possible(both: Column) -> Column:
+        return both * 100 >= (F.col("un") + F.col("vn") - both) * percent
+
+    apart = (F.col("urep") > F.col("vrep")) & (F.col("uroot") != F.col("vroot"))
+    ends = F.col("urep").alias("u"), F.col("vrep").alias("v")
+
+    # Pairs without a rare shingle in common.
+    m = tables(percent)
+    solid = left.select("key", "at", "rep", "n").join(nodes.filter(F.col("other") * 100 >= F.col("n") * percent), ["rep", "n"])
+    solid = materialize(solid.join(classes.select("rep", "n", "a", "b"), ["rep", "n"]), f"{at}/solid")
+    first = lambda c: F.array_position(F.zip_with(f"u{c}", f"v{c}", lambda x, y: x == y), True) - 1
+    met = side(solid, "u", "key").join(side(solid, "v", "key"), "key").filter(apart & possible(F.least("uother", "vother")) & (F.col("uat") == first("a") * m + first("b")))
+
+    # Pairs with some.
+    some = rare.filter("holders > 1").select(F.col("id").alias("rep"), "shingle").join(nodes.select("rep", "root").distinct(), "rep")
+    some = side(some, "u", "shingle").join(side(some, "v", "shingle"), "shingle").filter(apart).groupBy("urep", "vrep").agg(F.count(F.lit(1)).alias("both"))
+    known = nodes.drop("root")
+    some = some.join(side(known, "u"), "urep").join(side(known, "v"), "vrep").filter(possible(F.least(F.col("both") + F.least("uother", "vother"), "un", "vn")))
+    return met.select(*ends).unionByName(some.select(*ends)).distinct()
 
 
 def components(edges: DataFrame, at: str) -> DataFrame:
@@ -202,7 +242,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     m = tables(percent)
     keys = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i * m + j, x, y))))
-    entries = classes.select("rep", "n", F.explode(keys).alias("key"))
+    entries = classes.select("rep", "n", F.posexplode(keys).alias("at", "key"))
     shared = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.min_by("n", "rep").alias("leader_n"), F.count(F.lit(1)).alias("rows_of")).filter("rows_of > 1")
     entries = materialize(looked_up(entries, shared, "key", f"{at}/shared"), f"{at}/entries")  # only buckets with several classes
 
@@ -217,10 +257,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     def placed(roots: DataFrame, name: str) -> DataFrame:
         """Entries of the buckets whose nodes are in several components."""
-        own = entries.select("key", "rep", "n").join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        own = entries.select("key", "at", "rep", "n").join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         own = materialize(own, f"{at}/{name}-placed")
         open_ = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows_of")).filter("lo < hi")
-        return materialize(looked_up(own, open_, "key", f"{at}/{name}-open").select("key", "rep", "n", "root"), f"{at}/{name}")
+        return materialize(looked_up(own, open_, "key", f"{at}/{name}-open").select("key", "at", "rep", "n", "root"), f"{at}/{name}")
 
     # Second round: each bucket's node with most links so far.
     left = placed(roots, "left-2")
@@ -232,18 +272,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     links = materialize(verified(second, docs, words, percent), f"{at}/links-2")
     roots = components(links.unionByName(roots.select("u", F.col("root").alias("v"))), f"{at}/components-2")
 
-    # The rest, exactly: pairs across components that share a bucket and aren't compared yet. Shingles that no
-    # other open node holds can't be shared, which bounds a node's likeness to any other, and a pair's.
-    left = placed(roots, "left-3")
-    alone = materialize(unique_counts(docs, left, words, percent), f"{at}/alone")
-    common = F.col("n") - F.coalesce("alone", F.lit(0))
-    left = left.join(alone, "rep", "left").withColumn("common", common).filter(F.col("common") * 100 >= F.col("n") * percent)
-    left = materialize(left, f"{at}/bounded")
-    x = left.select("key", F.col("rep").alias("u"), F.col("n").alias("un"), F.col("root").alias("ur"), F.col("common").alias("uc"))
-    y = left.select("key", F.col("rep").alias("v"), F.col("n").alias("vn"), F.col("root").alias("vr"), F.col("common").alias("vc"))
-    most = F.least("uc", "vc", "un", "vn")
-    bound = most * 100 >= (F.col("un") + F.col("vn") - most) * percent
-    third = x.join(y, "key").filter((F.col("u") > F.col("v")) & (F.col("ur") != F.col("vr")) & bound).select("u", "v").distinct()
+    # The rest, exactly: pairs across components that aren't compared yet and may be alike enough.
+    third = last_pairs(placed(roots, "left-3"), classes, docs, words, percent, at)
     tested = pairs.unionByName(second)
     tested = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     third = materialize(third.join(tested, ["u", "v"], "left_anti"), f"{at}/pairs-3")
