@@ -4,9 +4,9 @@ documents with benchmark passages go; what stays is encoded.
 Each stage takes all rows its predecessor kept and, but for the last, returns the columns of
 ``documents``, with ``n_chars`` of the text as it is then.
 
-Defined results: null texts pass as empty; rows without an id are never near copies of others; rows that
-share a doc_id are one document, whose smallest text stays; an empty table gives an empty result; other columns pass
-through. SQL can't express the stages (models, hashes, tokenizers), so tests compare them with brute
+Defined results: null texts pass as empty; near copies are judged row by row, so rows that share a doc_id
+stay unless their texts are alike; rows without an id are near copies only of one another; an empty table gives an
+empty result; other columns pass through. SQL can't express the stages (models, hashes, tokenizers), so tests compare them with brute
 force.
 """
 
@@ -38,11 +38,25 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity of 0.8; the smallest doc_id of each group stays."""
-    gone = minhash.near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept").select("doc_id")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    one = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.coalesce("text", F.lit(""))).alias("row"))
-    return one.select("doc_id", "row.*").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """Five-word shingles, similarity of 0.8; the row with the smallest doc_id of each group stays."""
+    at = shared_dir(spark)
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), f"{at}/rows")  # written, so that the keys hold
+    gone = behind(rows.filter("doc_id is not null"), f"{at}/with-id")
+    if not rows.filter("doc_id is null").isEmpty():
+        gone = gone.unionByName(behind(rows.filter("doc_id is null"), f"{at}/without-id"))
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+
+
+def behind(rows: DataFrame, at: str) -> DataFrame:
+    """_row of every row that isn't the first of its group. Rows without any word are alike only within a doc_id."""
+    alike = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
+    place = F.struct("doc_id", F.xxhash64("text").alias("text"), "_row")
+    empty = F.col("n_shingles") == 0
+    group = F.when(empty, F.coalesce(F.col("place.doc_id").cast("long"), "_row")).otherwise(F.col("component_id"))
+    placed = alike.join(rows.select("_row", place.alias("place")), "_row").select("_row", "place", empty.alias("empty"), group.alias("group"))
+    placed = materialize(placed, at)
+    firsts = placed.groupBy("empty", "group").agg(F.min("place").alias("first")).select(F.col("first._row").alias("_row"))
+    return placed.join(firsts, "_row", "left_anti").select("_row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,6 +70,17 @@ def test_nulls_repeats_and_clashing_columns(spark, tmp_path):
     assert got == [0, 0, 1, 3, 4]
 
 
+def test_near_copies_are_judged_row_by_row(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(50))
+    a, b, c = text("a"), text("b"), text("c")
+    rows = [(1, a), (1, b), (1, None), (1, ""), (2, b + " end"), (3, None), (3, c), (4, a), (7, c + " x"), (7, c + " x")]
+    # Alike only to a row without an id each: these don't tie rows with one to each other.
+    rows += [(8, text("d")), (9, text("e")), (None, text("d")), (None, text("e")), (None, text("e") + " end"), (None, ""), (None, None)]
+    got = pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    told = sorted(((r.doc_id or 0, (r.text or "").split(" ")[0]) for r in got.collect()))
+    assert told == [(0, ""), (0, ""), (0, "d0"), (0, "e0"), (1, ""), (1, "a0"), (1, "b0"), (3, ""), (3, "c0"), (8, "d0"), (9, "e0")]
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
