@@ -3,9 +3,10 @@
 ``normalise`` inflates each such file once to list its records, decides which of them repeat an
 earlier payload, then inflates it again in a stream and rewrites every record as a gzip member of
 its own, with a sidecar index of member offsets, so that readers can fetch any record alone. Of
-records with equal payloads the one with the smallest page id stays a response; the others become
-revisits that refer to it (identical-payload-digest profile; the stored HTTP headers still tell
-the payload's length). Payloads never pass a shuffle: only (file, ordinal, page id, digest) do.
+responses with equal payloads the one with the smallest page id stays a response; the others become
+revisits that refer to it (identical-payload-digest profile): their headers change where a revisit's must, their
+HTTP head stays and still tells the payload's length. All other records, of whatever type, are
+copied byte by byte. Payloads never pass a shuffle: only slim rows (file, ordinal, ids, digest) do.
 
 A task holds one record and a buffer at a time. Files have names of their own for each attempt and
 are known only through the rows that a finished task returned, so lost executors leave at most
@@ -76,6 +77,16 @@ def inflate(parts: Iterable[bytes]) -> Iterator[bytes]:
 
 def records(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers with lower-case names, block) of every record of an inflated stream."""
+    for head, block in raw_records(parts):
+        yield headers_of(head), block
+
+
+def headers_of(head: bytes) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+
+
+def raw_records(parts: Iterable[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """(header lines as they are, block) of every record of an inflated stream."""
     data, source, ended = bytearray(), iter(parts), False
 
     def fill(until: int) -> bool:
@@ -94,15 +105,14 @@ def records(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
             if data.strip():
                 raise ValueError("a WARC file ends inside a record's headers")
             return
-        lines = data[:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        head = bytes(data[:end])
+        if not head.startswith(b"WARC/"):
+            raise ValueError(f"not a WARC record: {head[:40]!r}")
         start = end + 4
-        stop = start + int(headers["content-length"])
+        stop = start + int(headers_of(head)["content-length"])
         if not fill(stop + 4):
             raise ValueError("a WARC file ends inside a record")
-        yield headers, bytes(data[start:stop])
+        yield head, bytes(data[start:stop])
         del data[: stop + 4]
 
 
@@ -118,6 +128,30 @@ def payload_of(block: bytes) -> tuple[bytes, int]:
     return payload, int(told[1]) if told else len(payload)
 
 
+def is_response(headers: dict[str, str], block: bytes) -> bool:
+    """Whether the block is an HTTP response whose payload may be left to another record."""
+    return headers.get("warc-type") == "response" and block.startswith(b"HTTP/") and b"\r\n\r\n" in block and "warc-segment-number" not in headers
+
+
+def as_revisit(head: bytes, block: bytes, sha1: str, refers_to: str, target: str | None, date: str | None) -> tuple[bytes, bytes]:
+    """Header lines and block of a response as a revisit; lines that a revisit has no other value for stay as they are."""
+    lines, drop = [], False
+    for line in head.split(b"\r\n"):
+        name = line.partition(b":")[0].strip().lower()
+        if not line.startswith((b" ", b"\t")):  # a folded line goes with its first
+            drop = name in (b"warc-payload-digest", b"warc-block-digest", b"content-length")
+        if drop:
+            continue
+        lines.append(b"WARC-Type: revisit" if name == b"warc-type" else line)
+    http = block[: block.index(b"\r\n\r\n") + 4]
+    lines += [f"WARC-Payload-Digest: sha1:{sha1}".encode(), f"WARC-Profile: {PROFILE}".encode(), f"WARC-Refers-To: {refers_to}".encode()]
+    if target is not None:
+        lines.append(f"WARC-Refers-To-Target-URI: {target}".encode())
+    if date is not None:
+        lines.append(f"WARC-Refers-To-Date: {date}".encode())
+    return b"\r\n".join([*lines, f"Content-Length: {len(http)}".encode()]), http
+
+
 def write_monolithic(pages: DataFrame, at: str) -> DataFrame:
     """Write every page as a response; rows (file, records) of the files, each one gzip stream."""
     ship(pages.sparkSession)
@@ -154,30 +188,33 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def listed(given: DataFrame) -> DataFrame:
-    """file, ordinal, page_id, payload_bytes, payload_digest of every record of the files."""
+    """file, ordinal, page_id, payload_bytes, payload_digest, name, target and date of every response of the files.
+
+    page_id, target and date may be null; digest and name are null in a row for each file that keeps it listed.
+    """
+    schema = pa.schema([("file", pa.string()), ("ordinal", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("name", pa.string()), ("target", pa.string()), ("date", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column("file").to_pylist():
-                found = []
-                for headers, block in records(inflate(files.chunks(name))):
-                    payload, _ = payload_of(block)
-                    found.append((page_of(headers["warc-record-id"]), len(payload), digest(payload)))
-                page_ids, sizes, digests = zip(*found, strict=True) if found else ((), (), ())
-                columns = [pa.array([name] * len(found), pa.string()), pa.array(range(len(found)), pa.int64()), pa.array(page_ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["file", "ordinal", "page_id", "payload_bytes", "payload_digest"])
+            for file in batch.column("file").to_pylist():
+                found: list[tuple] = [(file, -1, None, 0, None, None, None, None)]
+                for n, (headers, block) in enumerate(records(inflate(files.chunks(file)))):
+                    if is_response(headers, block):
+                        payload, _ = payload_of(block)
+                        found.append((file, n, page_of(headers["warc-record-id"]), len(payload), digest(payload), headers["warc-record-id"], headers.get("warc-target-uri"), headers.get("warc-date")))
+                yield _batch(found, schema)
 
-    return spread(given).mapInArrow(scan, "file string, ordinal long, page_id long, payload_bytes long, payload_digest string")
+    return spread(given).mapInArrow(scan, "file string, ordinal long, page_id long, payload_bytes long, payload_digest string, name string, target string, date string")
 
 
 def decisions(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Add revisit (boolean) and refers_to. Copies meet with partial sums; a hot payload's rows are slim."""
-    place = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "file", "ordinal")
-    firsts = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    """Add revisit (boolean) and what it refers to. Copies meet with partial sums; a hot payload's rows are slim."""
+    place = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "file", "ordinal", "name", "target", "date")
+    firsts = rows.filter(F.col("payload_digest").isNotNull() & (F.col("payload_bytes") >= least_bytes)).groupBy("payload_digest", "payload_bytes").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = firsts.filter("n > 1").drop("n")
     own = (F.col("first.file") == F.col("file")) & (F.col("first.ordinal") == F.col("ordinal"))
     out = rows.join(firsts, ["payload_digest", "payload_bytes"], "left").withColumn("revisit", F.coalesce(~own, F.lit(False)))
-    return out.select("file", "ordinal", "revisit", F.when(F.col("revisit"), F.col("first.page_id")).alias("refers_to"))
+    return out.select("file", "ordinal", "revisit", *[F.when(F.col("revisit"), F.col(f"first.{c}")).alias(c) for c in ("name", "target", "date")])
 
 
 def normalise(given: DataFrame, at: str, least_bytes: int = 0) -> DataFrame:
@@ -188,19 +225,21 @@ def normalise(given: DataFrame, at: str, least_bytes: int = 0) -> DataFrame:
 
     def rewrite(rows: pa.Table) -> pa.Table:
         source = rows.column("file")[0].as_py()
-        revisits = dict(zip(*(rows.filter(rows.column("revisit")).column(c).to_pylist() for c in ("ordinal", "refers_to")), strict=True))
+        again = rows.filter(rows.column("revisit"))
+        revisits = dict(zip(again.column("ordinal").to_pylist(), zip(*(again.column(c).to_pylist() for c in ("name", "target", "date")), strict=True), strict=True))
         name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
         offset = n = 0
         with files.create(name) as out, files.create(f"{name}.idx") as index:
-            for headers, block in records(inflate(files.chunks(source))):
-                payload, size = payload_of(block)
-                page_id, url, sha1 = page_of(headers["warc-record-id"]), headers.get("warc-target-uri"), digest(payload)
-                again = n in revisits
-                raw = record("revisit", page_id, url, b"", sha1, size, revisits[n]) if again else record("response", page_id, url, payload, sha1, size)
+            for head, block in raw_records(inflate(files.chunks(source))):
+                headers = headers_of(head)
+                kind, page_id = headers.get("warc-type", ""), page_of(headers["warc-record-id"])
+                sha1 = digest(payload_of(block)[0]) if is_response(headers, block) else headers.get("warc-payload-digest", "").removeprefix("sha1:")
+                if n in revisits:
+                    kind, (head, block) = "revisit", as_revisit(head, block, sha1, *revisits[n])
                 z = zlib.compressobj(6, zlib.DEFLATED, GZIP)
-                member = z.compress(raw) + z.flush()
+                member = z.compress(head + b"\r\n\r\n") + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
                 out.write(member)
-                index.write(f"{offset}\t{len(member)}\t{'revisit' if again else 'response'}\t{'' if page_id is None else page_id}\t{sha1}\n".encode())
+                index.write(f"{offset}\t{len(member)}\t{kind}\t{'' if page_id is None else page_id}\t{sha1}\n".encode())
                 offset, n = offset + len(member), n + 1
         return pa.table({"archive": [name], "index": [f"{name}.idx"], "records": pa.array([n], pa.int64())})
 
@@ -226,7 +265,7 @@ def fetch(f, offset: int, length: int) -> tuple[dict[str, str], bytes]:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to of every record."""
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to of every record; what one doesn't tell is null."""
     ship(archives.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
@@ -236,8 +275,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 rows: list[tuple] = []
                 for headers, block in members(archive, index):
                     payload, size = payload_of(block)
-                    sha1 = headers["warc-payload-digest"].removeprefix("sha1:")
-                    if headers["warc-type"] == "response" and (len(payload) != size or digest(payload) != sha1):
+                    sha1 = headers["warc-payload-digest"].removeprefix("sha1:") if "warc-payload-digest" in headers else None
+                    # Others may cut payloads off, or tell digests of another kind.
+                    if headers["warc-type"] == "response" and headers["warc-record-id"].startswith(f"<{NAME}") and (len(payload) != size or digest(payload) != sha1):
                         raise ValueError(f"{archive}: a payload differs from its digest")
                     refers = headers.get("warc-refers-to")
                     rows.append((page_of(headers["warc-record-id"]), headers.get("warc-target-uri"), size, sha1, headers["warc-type"], refers and page_of(refers)))

@@ -63,6 +63,43 @@ def test_index_offsets_are_members(spark, tmp_path):
     assert at == len(raw)
 
 
+def test_foreign_records_stay_as_they_are(spark, tmp_path):
+    def raw(kind, name, block, *more):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 2020-02-03T04:05:06Z", *more, f"Content-Length: {len(block)}"]
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 404 Not Found\r\nX-Own: 1\r\nContent-Length: 4\r\n\r\n"
+    uri = "WARC-Target-URI: http://a/"
+    given = [
+        raw("warcinfo", "0", b"software: other\r\n"), raw("request", "1", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", uri), raw("response", "2", http + b"gone", uri, "WARC-Block-Digest: sha1:X"),
+        raw("request", "3", b"GET /b HTTP/1.1\r\nHost: a\r\n\r\n", uri), raw("response", "4", http + b"gone", "WARC-IP-Address: 192.0.2.1", "WARC-Block-Digest: sha1:X"), raw("metadata", "5", b"via: x"), raw("metadata", "6", b"via: y"),
+        raw("revisit", "7", http, "WARC-Profile: own"), raw("response", "8", b"dns: not http"), raw("resource", "9", http + b"gone"),
+    ]
+    source = f"file://{tmp_path}/source.warc.gz"
+    with files.create(source) as f:
+        f.write(zlib.compress(b"".join(given), wbits=warc.GZIP))
+    only_info = f"file://{tmp_path}/info.warc.gz"
+    with files.create(only_info) as f:
+        f.write(zlib.compress(given[0], wbits=warc.GZIP))
+    archives = warc.normalise(spark.createDataFrame([(source,), (only_info,)], "file string"), f"file://{tmp_path}/at")
+    got = {r.records: (b"".join(files.chunks(r.archive)), b"".join(files.chunks(r["index"])).splitlines()) for r in archives.collect()}
+    assert zlib.decompress(got[1][0], warc.GZIP) == given[0]
+    packed, index = got[10]
+    places = [line.split(b"\t") for line in index]
+    members = [zlib.decompress(packed[int(o) : int(o) + int(n)], warc.GZIP) for o, n, *_ in places]
+    assert [m for i, m in enumerate(members) if i != 4] == [g for i, g in enumerate(given) if i != 4]
+    assert [p[2] for p in places] == [b"warcinfo", b"request", b"response", b"request", b"revisit", b"metadata", b"metadata", b"revisit", b"response", b"resource"]
+    (again,) = warc.records([members[4]])
+    sha = base64.b32encode(hashlib.sha1(b"gone").digest()).decode()
+    assert again[1] == http
+    assert again[0] == {
+        "warc-type": "revisit", "warc-record-id": "<urn:uuid:4>", "warc-date": "2020-02-03T04:05:06Z", "warc-ip-address": "192.0.2.1", "warc-payload-digest": f"sha1:{sha}",
+        "warc-profile": warc.PROFILE, "warc-refers-to": "<urn:uuid:2>", "warc-refers-to-target-uri": "http://a/", "warc-refers-to-date": "2020-02-03T04:05:06Z", "content-length": str(len(http)),
+    }
+    kinds = [r.record_type for r in warc.read_archives(archives).collect()]
+    assert sorted(kinds) == sorted(["warcinfo", *(p[2].decode() for p in places)])
+
+
 def test_records_across_chunk_borders():
     raw = b"".join(warc.record("response", i, "u", b"\r\n" * i, "S", 2 * i) for i in range(20))
     packed = zlib.compress(raw, wbits=warc.GZIP)
