@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourloom.operators.windows import average_rank
@@ -93,6 +93,50 @@ def stretch(df: DataFrame, p: str, q: float, factor: float, out: str) -> DataFra
     return df.crossJoin(F.broadcast(edge)).withColumn(out, moved).drop("_edge")
 
 
+#: kind, first and second setting: smooth (rows of the frame, blend weight), stretch (quantile, strength), scale (factor), clip (least).
+VARIANTS = [
+    *[("smooth", float(n), w) for n in (3, 5) for w in (0.1, 0.2, 0.3, 0.5)], *[("stretch", q, k) for q in (0.9, 0.95) for k in (0.02, 0.05, 0.1)],
+    *[("scale", m, None) for m in (1.02, 1.04, 0.98)], *[("clip", lo, None) for lo in (0.0, 2.0, 5.0)],
+]
+
+
+def sweep(df: DataFrame, fold: str, entity: str, order: list[str], variants: list[tuple] = VARIANTS, y: str = "y", p: str = "p", most: float = 999.0) -> DataFrame:
+    """kind, a, b, delta_a, delta_b, improves, worst: each variant's RMSE on folds a and b less that of the prediction as it is.
+
+    Frames, centred, and quantiles are those of a fold; what is clipped ends at ``most``.
+    """
+    edges = sorted({v[1] for v in variants if v[0] == "stretch"})
+    of_fold = df.groupBy(fold).agg(*[F.percentile(p, F.lit(q)).alias(f"_edge{i}") for i, q in enumerate(edges)])
+    rows = df.join(F.broadcast(of_fold), fold)
+    frame = Window.partitionBy(fold, entity).orderBy(*order)
+    sizes = sorted({int(v[1]) for v in variants if v[0] == "smooth"})
+    rows = rows.select("*", *[F.avg(p).over(frame.rowsBetween(-(n // 2), (n - 1) // 2)).alias(f"_mean{n}") for n in sizes])
+
+    def changed(kind: str, a: float, b: float | None) -> Column:
+        own = F.col(p)
+        if kind == "smooth":
+            return own * (1 - b) + F.col(f"_mean{int(a)}") * b
+        if kind == "stretch":
+            edge = F.col(f"_edge{edges.index(a)}")
+            return F.when(own > edge, own * (1 + b * (own - edge) / edge)).otherwise(own)
+        if kind == "scale":
+            return own * a
+        if kind == "clip":
+            return F.least(F.greatest(own, F.lit(a)), F.lit(most))
+        raise ValueError(f"unknown variant: {kind}")
+
+    def error(x: Column, part: str) -> Column:
+        return F.sqrt(F.avg(F.when(F.col(fold) == part, F.pow(F.col(y) - x, F.lit(2.0)))))
+
+    errors = [error(x, part).alias(f"{part}{i}") for i, x in enumerate([F.col(p), *[changed(*v) for v in variants]]) for part in "ab"]
+    told = [
+        F.struct(F.lit(kind).alias("kind"), F.lit(a).cast("double").alias("a"), F.lit(b).cast("double").alias("b"), (F.col(f"a{i}") - F.col("a0")).alias("delta_a"), (F.col(f"b{i}") - F.col("b0")).alias("delta_b"))
+        for i, (kind, a, b) in enumerate(variants, 1)
+    ]
+    out = rows.agg(*errors).select(F.inline(F.array(*told)))
+    return out.withColumns({"improves": (F.col("delta_a") < 0) & (F.col("delta_b") < 0), "worst": F.greatest("delta_a", "delta_b")})
+
+
 def paired_blocks(df: DataFrame, t: str, candidate: str, base: str, y: str = "y", hours: int = 24) -> DataFrame:
     """block, total, n: summed differences of squared errors in blocks of time, all entities together."""
     lost = F.pow(F.col(candidate) - F.col(y), F.lit(2.0)) - F.pow(F.col(base) - F.col(y), F.lit(2.0))

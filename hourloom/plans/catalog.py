@@ -448,6 +448,29 @@ def postproc_sweep(spark, sf_dir):
     return out.withColumns({"improves": (F.col("delta_a") < 0) & (F.col("delta_b") < 0), "worst": F.greatest("delta_a", "delta_b")})
 
 
+#: Predictions of p1 for a hundredth of the price, which the reference's limits of 0 to 999 are about.
+SWEPT = f"""{PRED}, s AS (SELECT CASE WHEN t < TIMESTAMP '{FOLD[0]}' THEN 'a' ELSE 'b' END AS fold, priority, t, id, y / 100 AS y, p1 / 100 AS p FROM pred),
+e AS (SELECT fold, quantile_cont(p, 0.9) AS e90, quantile_cont(p, 0.95) AS e95 FROM s GROUP BY fold),
+m AS (SELECT s.*, e90, e95, avg(p) OVER (PARTITION BY s.fold, priority ORDER BY t, id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m3,
+  avg(p) OVER (PARTITION BY s.fold, priority ORDER BY t, id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m5 FROM s JOIN e ON e.fold = s.fold),
+smooths AS (SELECT unnest([0.1, 0.2, 0.3, 0.5])::DOUBLE AS w), stretches AS (SELECT unnest([0.02, 0.05, 0.1])::DOUBLE AS k),
+v AS (SELECT 'base' AS kind, NULL::DOUBLE AS a, NULL::DOUBLE AS b, fold, y, p FROM m
+  UNION ALL SELECT 'smooth', 3, w, fold, y, (1 - w) * p + w * m3 FROM m, smooths UNION ALL SELECT 'smooth', 5, w, fold, y, (1 - w) * p + w * m5 FROM m, smooths
+  UNION ALL SELECT 'stretch', 0.9, k, fold, y, CASE WHEN p > e90 THEN p * (1 + k * (p - e90) / e90) ELSE p END FROM m, stretches
+  UNION ALL SELECT 'stretch', 0.95, k, fold, y, CASE WHEN p > e95 THEN p * (1 + k * (p - e95) / e95) ELSE p END FROM m, stretches
+  UNION ALL SELECT 'scale', x, NULL, fold, y, p * x FROM m, (SELECT unnest([1.02, 1.04, 0.98])::DOUBLE AS x)
+  UNION ALL SELECT 'clip', lo, NULL, fold, y, least(greatest(p, lo), 999) FROM m, (SELECT unnest([0.0, 2.0, 5.0])::DOUBLE AS lo)),
+r AS (SELECT kind, a, b, sqrt(avg(pow(y - p, 2)) FILTER (fold = 'a')) AS ea, sqrt(avg(pow(y - p, 2)) FILTER (fold = 'b')) AS eb FROM v GROUP BY kind, a, b),
+z AS (SELECT ea AS ea0, eb AS eb0 FROM r WHERE kind = 'base')"""
+
+
+@register(f"WITH {SWEPT} SELECT kind, a, b, ea - ea0 AS delta_a, eb - eb0 AS delta_b, ea < ea0 AND eb < eb0 AS improves, greatest(ea - ea0, eb - eb0) AS worst FROM r, z WHERE kind <> 'base'", "a b delta_a delta_b worst")
+def postproc_variants(spark, sf_dir):
+    early = F.col("t") < F.lit(FOLD[0]).cast("timestamp_ntz")
+    rows = predictions(spark, sf_dir).select(F.when(early, "a").otherwise("b").alias("fold"), "priority", "t", "id", (F.col("y") / 100).alias("y"), (F.col("p1") / 100).alias("p"))
+    return E.sweep(rows, "fold", "priority", ["t", "id"])
+
+
 @register(f"WITH {PRED} SELECT CAST(floor(date_diff('hour', TIMESTAMP '1970-01-01', t) / 24.0) AS BIGINT) AS block, sum(pow(p1 - y, 2) - pow(p2 - y, 2)) AS total, count(*) AS n FROM pred GROUP BY 1", "total")
 def paired_block_sums(spark, sf_dir):
     return E.paired_blocks(predictions(spark, sf_dir), "t", "p1", "p2")
