@@ -145,7 +145,7 @@ def paired_blocks(df: DataFrame, t: str, candidate: str, base: str, y: str = "y"
     return df.groupBy(block.alias("block")).agg(F.sum(lost).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-def bootstrap(blocks: DataFrame, draws: int = 500, seed: int = 42) -> DataFrame:
+def bootstrap(blocks: DataFrame, draws: int = 2000, seed: int = 42) -> DataFrame:
     """mean, low, high and the share of draws that are worse, of means over blocks drawn anew.
 
     Each draw weighs a block by a Poisson(1) count of its own seed, so draws need no positions and
@@ -163,6 +163,16 @@ def bootstrap(blocks: DataFrame, draws: int = 500, seed: int = 42) -> DataFrame:
     return means.agg(F.avg("m").alias("mean"), edges[0].alias("low"), edges[1].alias("high"), F.avg((F.col("m") > 0).cast("double")).alias("p_worse"))
 
 
+def paired_bootstrap(df: DataFrame, t: str, candidate: str, base: str, y: str = "y", draws: int = 2000, seed: int = 42) -> DataFrame:
+    """The bootstrap's row with rmse_delta, rmse_low and rmse_high on the scale of the RMSE, and the verdict on the candidate."""
+    lost = F.pow(F.col(candidate) - F.col(y), F.lit(2.0)) - F.pow(F.col(base) - F.col(y), F.lit(2.0))
+    known = df.agg(rmse(y, base).alias("_base"), F.avg(lost).alias("_delta"))
+    scaled = lambda d: F.sqrt(F.greatest(F.pow("_base", F.lit(2.0)) + F.col(d), F.lit(0.0))) - F.col("_base")
+    out = bootstrap(paired_blocks(df, t, candidate, base, y), draws, seed).crossJoin(F.broadcast(known))
+    verdict = F.when(F.col("high") < 0, "better").when(F.col("low") > 0, "worse").when(F.col("low").isNotNull(), "not separable")
+    return out.withColumns({"rmse_delta": scaled("_delta"), "rmse_low": scaled("low"), "rmse_high": scaled("high"), "verdict": verdict}).drop("_base", "_delta")
+
+
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the curve by average ranks."""
     n = F.count(score)

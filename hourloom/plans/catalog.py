@@ -478,7 +478,7 @@ def paired_block_sums(spark, sf_dir):
 
 @register()
 def paired_bootstrap_ci(spark, sf_dir):
-    return E.bootstrap(E.paired_blocks(predictions(spark, sf_dir), "t", "p1", "p2"))
+    return E.paired_bootstrap(predictions(spark, sf_dir), "t", "p1", "p2")
 
 
 @register(f"WITH {PRED} SELECT regr_slope(y, p2) AS slope, regr_intercept(y, p2) AS intercept, corr(y, p2) AS r FROM pred", "slope intercept r")
