@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,13 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of all files below a path."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def materialize(df: DataFrame, path: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     df.write.parquet(path)
@@ -72,6 +80,26 @@ def ship(spark: SparkSession) -> None:
     sc._hourloom_shipped = True
 
 
+def columns_of(names: Iterable[str]) -> list[Column]:
+    """Columns by name, whatever characters the names have."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over Arrow batches, giving what Arrow's pool keeps for later back when the task ends."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` computed once: a lambda variable, which the optimizer never inlines."""
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)

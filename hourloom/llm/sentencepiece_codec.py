@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import ship, table
+from hourloom.llm.common import frugal, ship, table
 
 VOCABULARY = "piece_bpe_32k.model"
 #: The library's mark of a space, and the segments that a task remembers.
@@ -158,6 +158,7 @@ def encoded(docs: DataFrame, path: str | None = None, check: bool = True, with_i
     kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema([*kinds, ("ids", pa.list_(pa.int32()))] if with_ids else kinds)
 
+    @frugal
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:

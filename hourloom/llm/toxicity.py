@@ -10,14 +10,20 @@ automaton over sets of (trie node, edits), whose states are worked out when a to
 them. A token within a term's allowed edits (by the term's length) is a hit; a stem may be followed
 by anything.
 
-Context. Each hit looks at a window of tokens around it. Quotation marks that open before and close
-after it, and words of reporting nearby, make it a quotation; words of address count against that.
-Quoted and abusive hits are separate inputs of the model.
+Misspellings count only for terms that enough toxic documents of the sample use themselves, not as quotations
+(``EDIT_SUPPORT``), and hardly any clean ones (``EDIT_SHARE``); rarer terms and shorter ones (``EDITS``)
+match as they are spelt. The lexicon is part of the model: the ``TERMS`` most telling terms of the sample.
+
+Context. Each hit looks at a window of tokens around it. Standing between a pair of quotation marks that both
+lie in the window, and words of reporting nearby, make it a quotation; words of address count against that.
+Marks are paired from the start of the text by their kind, straight ones by the blanks beside them too, so a
+hit between two quotations isn't quoted. Quoted and abusive hits are separate inputs of the model, sums and
+numbers up to a fixed level (what lies above says nothing more).
 
 Only texts are inputs of a score. Defined results: a null or empty text has no hits and gets the
 score of such texts; repeated rows and ties get equal scores; without labels of both kinds every
 score is the share of toxic labels (0 without any); an empty table gives an empty result; other
-columns are ignored.
+columns are ignored, or pass through as they are.
 """
 
 from __future__ import annotations
@@ -30,23 +36,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from hourloom.llm.common import indices, let, materialize, shared_dir, ship, table
+from hourloom.llm.common import columns_of, frugal, indices, let, materialize, shared_dir, ship, table
 
 #: Bounds: labelled rows learned from, terms kept.
 TRAIN_ROWS, TERMS = 20_000, 5_000
 #: A term needs so many toxic documents (a stem: occurrences of so many words), this share of toxic
 #: ones, and so many standard deviations more of them than terms have by chance.
 SUPPORT, STEM_WORDS, SHARE, DEVIATIONS, STEM_LENGTHS = 5, 3, 0.3, 6.0, range(4, 13)
-#: Allowed edits by a term's length, for terms of nearly only toxic documents, and of so many.
+#: Allowed edits by a term's length, for terms that nearly only toxic documents use unquoted, and so many.
 EDITS, EDIT_SHARE, EDIT_SUPPORT = ((9, 2), (5, 1)), 0.95, 10
 EDIT_FACTOR = 0.5
-#: Tokens on each side of a hit that are looked at, and tokens a task remembers.
-WINDOW, CACHED_TOKENS = 12, 500_000
+#: Tokens on each side of a hit that are looked at; tokens and automaton states that a task remembers.
+WINDOW, CACHED_TOKENS, CACHED_STATES = 12, 500_000, 200_000
 TOKEN = re.compile(r"\w+")
 SPOKEN = re.compile(r"\w+|[\"“”„«»‘’]")
-#: Quotation marks, words of reporting and of address, in the corpus's languages.
-OPENING, CLOSING = "\"“„«‘”»", "\"”“»’«"
+#: Quotation marks with what closes each, words of reporting and of address, in the corpus's languages.
+CLOSERS = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "”": "”"}
 REPORTING = set("said says say wrote writes called calls quote quoted quotes reported reports word term sagte sagt schrieb zitat zitiert nannte wort dit écrit cite citation appelé mot dijo dice escribió cita citado llamó palabra".split())
 ADDRESS = set("you your you're du dich dir ihr euch tu te toi vous usted tú vosotros ustedes".split())
 
@@ -77,7 +84,7 @@ def lexicon(rows: DataFrame, limit: int = TERMS) -> list[Term]:
     prior = rows.agg(F.avg("toxic")).first()[0]
     tokens = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda x: x != ""))
     counted = rows.select(F.explode(tokens).alias("term"), "toxic").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    counted = materialize(counted.filter("length(term) <= 64"), f"{shared_dir(rows.sparkSession)}/words")
+    counted = materialize(counted, f"{shared_dir(rows.sparkSession)}/words")
     n = F.col("a") + F.col("b")
     beyond = (F.col("a") - n * prior) / F.sqrt(n * prior * (1 - prior))
     telling = lambda df: df.withColumn("z", beyond).filter((F.col("a") >= SUPPORT) & (F.col("a") / n >= SHARE) & (F.col("z") >= DEVIATIONS))
@@ -89,8 +96,7 @@ def lexicon(rows: DataFrame, limit: int = TERMS) -> list[Term]:
     odds = prior / (1 - prior)
 
     def term(r, stem: bool) -> Term:
-        edits = next((k for least, k in EDITS if len(r.term) >= least), 0)
-        return r.term, stem, math.log((r.a + 0.5) / (r.b + 0.5) / odds), edits if r.a >= EDIT_SUPPORT and r.a / (r.a + r.b) >= EDIT_SHARE else 0
+        return r.term, stem, math.log((r.a + 0.5) / (r.b + 0.5) / odds), 0
 
     chosen: dict[str, Term] = {}
     for r in stems:  # the most telling of starts of one another
@@ -103,6 +109,30 @@ def lexicon(rows: DataFrame, limit: int = TERMS) -> list[Term]:
     return sorted(found, key=lambda x: (-x[2], x[0]))[:limit]
 
 
+def with_edits(rows: DataFrame, terms: list[Term]) -> list[Term]:
+    """The terms with their allowed edits, from the sample's mentions that aren't quotations.
+
+    A bounded result: two counts for each term.
+    """
+
+    @frugal
+    def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(terms, None)
+        for batch in batches:
+            own = [scorer.meant(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column("toxic")], ["terms", "toxic"])
+
+    seen = rows.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(mentions, "terms array<int>, toxic long")
+    counts = {r.term: r for r in seen.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")).collect()}
+
+    def allowed(i: int, term: str) -> int:
+        if i not in counts or counts[i].a < EDIT_SUPPORT or counts[i].a < EDIT_SHARE * counts[i].n:
+            return 0
+        return next((k for least, k in EDITS if len(term) >= least), 0)
+
+    return [(term, stem, weight, allowed(i, term)) for i, (term, stem, weight, _) in enumerate(terms)]
+
+
 class Automaton:
     """The lexicon's trie and the Levenshtein automata of its terms, run together."""
 
@@ -181,6 +211,8 @@ class Scorer:
 
     def __init__(self, terms: list[Term], model: list[float] | None) -> None:
         self.terms, self.model, self.automaton = terms, model, Automaton(terms)
+        self.whole = {t: i for i, (t, stem, _, _) in enumerate(terms) if not stem}
+        self.starts = {t: i for i, (t, stem, _, _) in enumerate(terms) if stem}
         self.known: set[str] = set()
         self.hits: dict[str, float] = {}
 
@@ -189,33 +221,80 @@ class Scorer:
         text = text.lower()
         tokens = TOKEN.findall(text)
         distinct = set(tokens)
+        if len(self.known) > CACHED_TOKENS:
+            self.known.clear()
+            self.hits.clear()
+        if len(self.automaton.sets) > CACHED_STATES:
+            self.automaton = Automaton(self.terms)
         for token in distinct - self.known:
             if w := self.automaton.weight(token):
                 self.hits[token] = w
         self.known |= distinct
         found = not self.hits.keys().isdisjoint(distinct)
-        if len(self.known) > CACHED_TOKENS:
-            self.known.clear()
-        if len(self.automaton.sets) > 200_000:
-            self.automaton = Automaton(self.terms)
         if not found:
             return [0.0] * 6
-        spoken = SPOKEN.findall(text)
         abuse, quoted = [], []
-        for i, token in enumerate(spoken):
+        spoken = self.spoken(text)
+        inside = self.quotes(text, spoken)
+        words = [m.group() for m in spoken]
+        for i, token in enumerate(words):
             if w := self.hits.get(token):
-                (quoted if self.quotation(spoken, i) >= 1 else abuse).append(w)
+                (quoted if self.quotation(words, i, inside) >= 1 else abuse).append(w)
         n = len(abuse) + len(quoted)
         return [min(sum(abuse), 30.0) / 10, min(len(abuse), 10) / 5, max(abuse, default=0.0) / 5, min(sum(quoted), 30.0) / 10, min(len(quoted), 10) / 5, min(10 * n / len(tokens), 1.0)]
 
+    def meant(self, text: str) -> list[int]:
+        """Places in ``terms`` of the terms that a text holds outside quotations, as they are spelt."""
+        text = text.lower()
+        spoken = self.spoken(text)
+        words = [m.group() for m in spoken]
+        found: dict[str, list[int]] = {}
+        for token in set(words):
+            own = [self.whole[token]] if token in self.whole else []
+            own += [self.starts[token[:k]] for k in STEM_LENGTHS if token[:k] in self.starts]
+            if own:
+                found[token] = own
+        if not found:
+            return []
+        inside = self.quotes(text, spoken)
+        return sorted({t for i, token in enumerate(words) if token in found and self.quotation(words, i, inside) < 1 for t in found[token]})
+
+    @staticmethod
+    def spoken(text: str) -> list[re.Match]:
+        return list(SPOKEN.finditer(text))
+
+    @staticmethod
+    def quotes(text: str, spoken: list[re.Match]) -> list[tuple[int, int]]:
+        """(first, last) places of the marks around each token's quotation, (-1, -1) outside any.
+
+        A mark closes the open one if it is its partner and something stands before it; an open mark
+        without a partner in two windows is given up, and the next mark may open.
+        """
+        out, opened = [(-1, -1)] * len(spoken), -1
+        for i, m in enumerate(spoken):
+            mark = m.group()
+            if mark not in CLOSERS and mark != "’":
+                continue
+            at = m.start()
+            before, after = text[at - 1 : at] if at else " ", text[at + 1 : at + 2] or " "
+            if before.isalnum() and after.isalnum():
+                continue  # an apostrophe
+            if opened >= 0 and i - opened > 2 * WINDOW + 1:
+                opened = -1
+            either = mark in CLOSERS.get(mark, "")  # tells its side only by the blanks beside it
+            if opened >= 0 and mark in CLOSERS[spoken[opened].group()] and not (either and before.isspace()):
+                out[opened : i + 1] = [(opened, i)] * (i + 1 - opened)
+                opened = -1
+            elif mark in CLOSERS and not before.isalnum() and not (either and after.isspace()):
+                opened = i
+        return out
+
     @staticmethod
-    def quotation(tokens: list[str], i: int) -> float:
+    def quotation(tokens: list[str], i: int, inside: list[tuple[int, int]]) -> float:
         """How much the window around a hit looks like a quotation."""
-        before, after = tokens[max(0, i - WINDOW) : i], tokens[i + 1 : i + 1 + WINDOW]
-        opened = next((k for k, x in enumerate(reversed(before)) if x in OPENING), None)
-        closed = next((k for k, x in enumerate(after) if x in CLOSING), None)
-        score = 1.0 if opened is not None and closed is not None else 0.0
-        for near in (reversed(before), after):
+        first, last = inside[i]
+        score = 1.0 if first >= 0 and i - first <= WINDOW and last - i <= WINDOW else 0.0
+        for near in (reversed(tokens[max(0, i - WINDOW) : i]), tokens[i + 1 : i + 1 + WINDOW]):
             for k, x in enumerate(near):
                 score += (0.75 * (x in REPORTING) - 0.5 * (x in ADDRESS)) * (1 - k / WINDOW)
         return score
@@ -246,8 +325,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[Term], list[float]]:
     if not n or not 0 < toxic < n:
         share = (toxic or 0) / max(n, 1)
         return [], [30.0 * (2 * share - 1)] + [0.0] * 6
-    terms = lexicon(rows)
+    terms = with_edits(rows, lexicon(rows))
 
+    @frugal
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(terms, None)
         for batch in batches:
@@ -258,19 +338,23 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[Term], list[float]]:
     return terms, fit(np.array([r.x for r in seen]), np.array([r.toxic for r in seen]))
 
 
-def scored(docs: DataFrame, terms: list[Term], model: list[float], columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns`` of docs and score."""
+def scored(docs: DataFrame, terms: list[Term], model: list[float], columns: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """``columns`` of docs as they are, and the score under a name that none of them has."""
     ship(docs.sparkSession)
-    given = docs.select(F.struct(*columns).alias("rest"), F.coalesce("text", F.lit("")).alias("text"))
-    rest = given.schema["rest"].dataType.simpleString()
+    others = [c for c in columns if c != "text"]
+    given = docs.select(F.struct(F.lit(0), *columns_of(others)).alias("rest"), "text")
+    schema = StructType([given.schema["rest"]]).add("score", "double")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(terms, model)
         for batch in batches:
-            found = [scorer.score(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(found, pa.float64())], ["rest", "score"])
+            found = [scorer.score(t.as_py() or "") for t in batch.column("text")]
+            kept = [batch.column("text")] if "text" in columns else []
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(found, pa.float64()), *kept], ["rest", "score", *["text"] * len(kept)])
 
-    return given.mapInArrow(run, f"rest {rest}, score double").select("rest.*", "score")
+    out = given.mapInArrow(run, schema.add("text", "string") if "text" in columns else schema)
+    return out.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in columns], F.col("score").alias(name))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

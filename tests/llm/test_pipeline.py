@@ -81,6 +81,23 @@ def test_near_copies_are_judged_row_by_row(spark):
     assert told == [(0, ""), (0, ""), (0, "d0"), (0, "e0"), (1, ""), (1, "a0"), (1, "b0"), (3, ""), (3, "c0"), (8, "d0"), (9, "e0")]
 
 
+def test_columns_that_clash_with_the_stages_own(spark, tmp_path):
+    line = "the same long line stands in all of these documents here"
+    rows = [(i, f"{line}\n" + " ".join(f"w{i}x{j}" for j in range(30)), "s", "t", i, "u", 0) for i in range(1, 7)] + [(8, "word " * 100_000, "s", "t", 8, "u", 0)]
+    names = "doc_id long, text string, score string, _score string, row int, `hit_id.x` string, n_chars int, toxicity string, doc string"
+    docs = spark.createDataFrame([(*r, "v", "w") for r in rows], names)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, rows[2][1].split("\n")[1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = str(tmp_path)
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = pipeline.materialize(stage(spark, docs, at), f"{at}/{name}")
+        assert [f.name for f in docs.schema] == ["doc_id", "text", "score", "_score", "row", "hit_id.x", "n_chars", "toxicity", "doc"], name
+    got = {r.doc_id: tuple(r) for r in docs.collect()}
+    assert sorted(got) == [1, 2, 4, 5, 6, 8]
+    assert got[1][2:] == ("s", "t", 1, "u", len(got[1][1]), "v", "w") and got[6][1].startswith(line) and not got[5][1].startswith(line)
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import pytest
@@ -33,6 +34,74 @@ def test_quotation_is_not_abuse():
     assert quoted[1] == 0 and quoted[4] > 0 and abuse[1] > 0 and abuse[4] == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "quoted"),
+    [
+        ('he liked "hamlet" and that idiot read "macbeth"', False), ('he said "that idiot" and "no"', True), ('a 5" board, "you" idiot', False), ('a 5" board said "idiot" today', True),
+        ("„so ein idiot“ sagte", True), ("l'homme « idiot » dit", True), ("it’s an idiot’s ‘word’", False), ("‘the dog’s idiot’ then", True), ('"a ' + "b " * 60 + 'idiot" end', False), ('idiot "x', False),
+    ],
+)
+def test_marks_are_paired(text, quoted):
+    found = list(toxicity.SPOKEN.finditer(text))
+    inside = Scorer.quotes(text, found)
+    (at,) = [i for i, m in enumerate(found) if m.group() == "idiot"]
+    assert (inside[at] != (-1, -1)) == quoted
+
+
+def brute_inputs(terms, text):
+    """Every token against every term by edit distance, and its window by the definition."""
+    text = text.lower()
+    found = list(toxicity.SPOKEN.finditer(text))
+    words, inside = [m.group() for m in found], Scorer.quotes(text, found)
+
+    def weight(token):
+        values = [0.0]
+        for term, stem, w, edits in terms:
+            for k in range(len(token) + 1) if stem else [len(token)]:
+                if (d := distance(token[:k], term)) <= edits:
+                    values.append(w * toxicity.EDIT_FACTOR**d)
+        return max(values)
+
+    abuse, quoted = [], []
+    for i, token in enumerate(words):
+        if not (toxicity.TOKEN.fullmatch(token) and (w := weight(token))):
+            continue
+        first, last = inside[i]
+        says = 1.0 * (first >= 0 and i - first <= toxicity.WINDOW and last - i <= toxicity.WINDOW)
+        for j, x in enumerate(words):
+            if 0 < (gap := abs(j - i)) <= toxicity.WINDOW:
+                says += (0.75 * (x in toxicity.REPORTING) - 0.5 * (x in toxicity.ADDRESS)) * (1 - (gap - 1) / toxicity.WINDOW)
+        (quoted if says >= 1 else abuse).append(w)
+    n = len(abuse) + len(quoted)
+    if not n:
+        return [0.0] * 6
+    return [min(sum(abuse), 30) / 10, min(len(abuse), 10) / 5, max(abuse, default=0) / 5, min(sum(quoted), 30) / 10, min(len(quoted), 10) / 5, min(10 * n / len(toxicity.TOKEN.findall(text)), 1)]
+
+
+def test_scores_against_brute_force(spark):
+    at = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    terms, model = toxicity.learn(docs, spark.read.parquet(f"{at}/labels.parquet"))
+    terms = [*terms, ("harbour", False, 2.0, 1), ("gar", True, 1.0, 0)]
+    few = docs.filter("doc_id < 150 and length(text) < 3000")
+    got = {r.doc_id: r.score for r in toxicity.scored(few, terms, model).collect()}
+    for r in few.collect():
+        z = model[0] + sum(a * b for a, b in zip(model[1:], brute_inputs(terms, r.text or ""), strict=True))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9), r.doc_id
+
+
+def test_quoted_mentions_leave_a_term_its_edits(spark):
+    rows = [(f"you are a blockhead of the {i} kind", 1.0) for i in range(20)] + [(f'the report said "blockhead" in part {i}', 0.0) for i in range(20)]
+    got = toxicity.with_edits(spark.createDataFrame(rows, "text string, toxic double"), [("blockhead", False, 3.0, 0), ("kind", False, 1.0, 0), ("part", False, 1.0, 0)])
+    assert [t[3] for t in got] == [2, 0, 0]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    docs = spark.createDataFrame([(1, "x", "a", 5, None)], "doc_id long, score string, `a.b` string, rest int, text string")
+    out = toxicity.scored(docs, [], [0.0] * 7, columns=tuple(docs.columns), name="found")
+    assert out.columns == [*docs.columns, "found"] and tuple(out.first()) == (1, "x", "a", 5, None, 0.5)
+
+
 def test_held_out_accuracy(spark):
     at = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{at}/labels.parquet").select("doc_id", "toxic")
