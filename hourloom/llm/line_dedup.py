@@ -4,19 +4,23 @@ A line's key is the line without white space at its ends, in ASCII lower case. K
 ``least_chars`` code points that at least ``least_docs`` documents hold lose all their lines
 except in the largest doc_id that holds them.
 
-1. Each task hashes its documents' keys (8 bytes for each distinct key) and deals them to segments
-   of the hash space. A segment's task puts them into a filter of keys seen once and, when that
-   already has one, into a filter of keys seen twice. Filters grow by further filters when full,
-   so their error rate holds at any size.
-2. The twice-filters, folded to what they hold, go to all tasks (only up to ``FILTER_BYTES``;
-   beyond it every key counts as suspected). Only suspected lines are shuffled, with their full
-   keys, to count documents exactly and choose the document that keeps them.
-3. The few keys that lose lines go to all tasks (up to ``KEYS_BYTES``; beyond it each document gets
-   its own by a join), which rebuild the texts. A false suspicion costs a row, never a line.
+The documents are first written in parts, one for each task, and every row knows its part.
+
+1. Each task hashes its documents' keys (8 bytes for each distinct key of a document, and at most two for a
+   key of one part) and deals them to segments of the hash space. A segment's task puts them into a filter of
+   keys seen once and, when that already has one, into a filter of keys seen twice. Filters grow by further
+   filters when full, so their error rate holds at any size; the number of segments grows with the documents, so
+   that a segment's filters fit in a task.
+2. The same hashes are asked of their segment's twice-filter, and those it has go back to the parts they came
+   from, as one small file for each part. Lines with such hashes are suspected: only they are shuffled, with their
+   full keys, to count documents exactly and choose the document that keeps them.
+3. The keys that lose lines go back to the parts that hold them in the same way, and each part's texts are
+   rebuilt. A false suspicion costs a row, never a line. Nothing is broadcast or sent to the driver, and texts
+   are never shuffled.
 
 Defined results: a null text counts as one empty line; a document without an id is the smallest;
-rows with equal doc_id are one document; ties can't occur; a document whose lines all go becomes
-empty; an empty table gives an empty result.
+rows with equal doc_id, or without one, are one document; ties can't occur; a document whose lines all go becomes
+empty; an empty table gives an empty result; other columns are ignored, or pass through as they are.
 """
 
 from __future__ import annotations
@@ -29,19 +33,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from hourloom.llm.common import materialize, shared_dir, ship, shuffle_partitions, table
+from hourloom.llm import files
+from hourloom.llm.common import columns_of, frugal, materialize, shared_dir, ship, shuffle_partitions, stored_bytes, table
 
 #: The contract's sizes.
 LEAST_CHARS, LEAST_DOCS = 40, 5
-#: What may be broadcast: all twice-filters, and the keys that lose lines.
-FILTER_BYTES, KEYS_BYTES = 32 << 20, 16 << 20
+#: Stored bytes of documents for each segment, at most.
+SEGMENT_BYTES = 64 << 20
 #: Keys of a segment's first filter (each further one takes twice as many), bits for a key, probes.
 CAPACITY, BITS, PROBES = 1 << 16, 16, 4
 #: Hashes that a task gathers before it deals them out.
 GATHERED = 1 << 20
 BLANKS = b" \t\n\x0b\x0c\r"
-NO_ID = -(1 << 63)
 #: Odd multipliers, one for each probe; unrelated, as multiples of one another would probe together.
 MIX = np.random.default_rng(PROBES).integers(0, 1 << 64, PROBES, np.uint64) | np.uint64(1)
 
@@ -114,74 +119,93 @@ def long_enough(key: bytes, least: int) -> bool:
     return len(key) >= least and (key.isascii() or len(key.decode()) >= least)
 
 
-def suspects(docs: DataFrame, at: str, least_chars: int) -> dict[int, list[tuple[int, bytes]]] | None:
-    """The twice-filters by segment, or None where they are too large to send to every task."""
-    spark = docs.sparkSession
-    segments = max(1, shuffle_partitions(spark))
+def by_part(rows: DataFrame, path: str, key: str = "part") -> None:
+    """Write one folder of files for each value of ``key``."""
+    rows.repartition(key).write.partitionBy(key).parquet(path)
+
+
+def write_suspects(rows: DataFrame, at: str, least_chars: int) -> None:
+    """Hashes of each part's keys that their segments have seen twice, below ``at``/suspects."""
+    spark = rows.sparkSession
+    segments = max(shuffle_partitions(spark), -(-stored_bytes(spark, f"{at}/rows") // SEGMENT_BYTES))
 
+    @frugal
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[int] = []
 
-        def told() -> pa.RecordBatch:
-            hashes = np.sort(np.array(found, np.uint64))
-            part = hashes % np.uint64(segments)
-            order = np.argsort(part, kind="stable")
-            hashes, part = hashes[order], part[order]
-            which, starts = np.unique(part, return_index=True)
-            return pa.RecordBatch.from_arrays([pa.array(which.astype("i4")), pa.array([x.tobytes() for x in np.split(hashes, starts[1:])], pa.binary())], ["segment", "hashes"])
+        def told(part: int) -> pa.RecordBatch:
+            hashes, counts = np.unique(np.array(found, np.uint64), return_counts=True)
+            hashes = np.repeat(hashes, np.minimum(counts, 2))
+            which = hashes % np.uint64(segments)
+            order = np.argsort(which, kind="stable")
+            which, starts = np.unique(which[order], return_index=True)
+            packed = [x.tobytes() for x in np.split(hashes[order], starts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(which.astype("i4")), pa.array([part] * len(which), pa.int32()), pa.array(packed, pa.binary())], ["segment", "part", "hashes"])
 
+        last = None
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found += {xxhash.xxh3_64_intdigest(k) for _, k in keys_of(text) if long_enough(k, least_chars)}
-                if len(found) >= GATHERED:
-                    yield told()
+            for part, text in zip(batch.column("part").to_pylist(), batch.column("text"), strict=True):
+                if found and (part != last or len(found) >= GATHERED):
+                    yield told(last)
                     found.clear()
+                last = part
+                found += {xxhash.xxh3_64_intdigest(k) for _, k in keys_of(text.as_py()) if long_enough(k, least_chars)}
         if found:
-            yield told()
+            yield told(last)
 
+    @frugal
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("segment", "hashes")), strict=True))
-        for segment, own in itertools.groupby(rows, key=lambda r: r[0]):
+        given = (r for batch in batches for r in zip(*(batch.column(c) for c in ("segment", "hashes")), strict=True))
+        for segment, own in itertools.groupby(given, key=lambda r: r[0].as_py()):
             seen = Seen()
             for _, hashes in own:
-                seen.add(np.frombuffer(hashes, np.uint64))
+                seen.add(np.frombuffer(hashes.as_buffer(), np.uint64))
             small = [b.folded() for b in seen.twice]
             yield pa.RecordBatch.from_arrays([pa.array([segment] * len(small), pa.int32()), pa.array([b.log2 for b in small], pa.int32()), pa.array([b.bits.tobytes() for b in small], pa.binary())], ["segment", "log2", "bits"])
 
-    dealt = docs.select("text").mapInArrow(deal, "segment int, hashes binary").repartition(segments, "segment").sortWithinPartitions("segment")
-    filters = materialize(dealt.mapInArrow(build, "segment int, log2 int, bits binary"), f"{at}/twice")
-    if (filters.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) > FILTER_BYTES:
-        return None
-    out: dict[int, list[tuple[int, bytes]]] = {s: [] for s in range(segments)}
-    for r in filters.collect():
-        out[r.segment].append((r.log2, bytes(r.bits)))
-    return out
-
-
-def suspected(docs: DataFrame, filters: dict | None, least_chars: int) -> DataFrame:
-    """doc_id, key of the lines that more than one document may hold, once for each row and key."""
-    sent = docs.sparkSession.sparkContext.broadcast(filters)
-
+    @frugal
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, twice = None, []
+        for batch in batches:
+            parts, kept = [], []
+            for segment, part, hashes in zip(batch.column("segment").to_pylist(), batch.column("part").to_pylist(), batch.column("hashes"), strict=True):
+                if segment != last:
+                    read = (r for t in files.rows_in(f"{at}/twice/segment={segment}") for r in t.select(["log2", "bits"]).to_pylist())
+                    last, twice = segment, [Packed(r["log2"], np.frombuffer(r["bits"], "u1")) for r in read]
+                own = np.unique(np.frombuffer(hashes.as_buffer(), np.uint64))
+                hit = np.zeros(len(own), bool)
+                for b in twice:
+                    hit |= b.has(own)
+                if hit.any():
+                    parts.append(part)
+                    kept.append(own[hit].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(kept, pa.binary())], ["part", "hashes"])
+
+    dealt = materialize(rows.select("part", "text").mapInArrow(deal, "segment int, part int, hashes binary"), f"{at}/dealt")
+    dealt = dealt.repartition(segments, "segment").sortWithinPartitions("segment")
+    by_part(dealt.select("segment", "hashes").mapInArrow(build, "segment int, log2 int, bits binary"), f"{at}/twice", "segment")
+    by_part(dealt.mapInArrow(ask, "part int, hashes binary"), f"{at}/suspects")
+
+
+def suspected(rows: DataFrame, at: str, least_chars: int) -> DataFrame:
+    """part, doc_id, key of the lines that more than one document may hold, once for each row and key."""
+
+    @frugal
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = None if sent.value is None else {s: [Packed(n, np.frombuffer(b, "u1")) for n, b in own] for s, own in sent.value.items()}
+        last, doubt = None, set()
         for batch in batches:
-            ids, keys = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = list({k for _, k in keys_of(text) if long_enough(k, least_chars)})
-                keys += own
-                ids += [doc_id] * len(own)
-            doubt = np.ones(len(keys), bool)
-            if twice is not None and keys:
-                hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
-                part, doubt[:] = hashes % np.uint64(len(twice)), False
-                for s in np.unique(part):
-                    mine = np.flatnonzero(part == s)
-                    for b in twice[int(s)]:
-                        doubt[mine] |= b.has(hashes[mine])
-            mask = pa.array(doubt)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).filter(mask), pa.array(keys, pa.binary()).filter(mask)], ["doc_id", "key"])
-
-    return docs.select("doc_id", "text").mapInArrow(pick, "doc_id long, key binary")
+            out: tuple[list, list, list] = [], [], []
+            for part, doc_id, text in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                if part != last:
+                    read = [np.frombuffer(h, np.uint64) for t in files.rows_in(f"{at}/suspects/part={part}") for h in t.column("hashes").to_pylist()]
+                    last, doubt = part, set(np.concatenate(read).tolist()) if read else set()
+                own = {k for _, k in keys_of(text.as_py()) if long_enough(k, least_chars) and xxhash.xxh3_64_intdigest(k) in doubt} if doubt else ()
+                for values, value in zip(out, (part, doc_id), strict=False):
+                    values += [value] * len(own)
+                out[2].extend(own)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "doc_id", "key"])
+
+    return rows.select("part", "doc_id", "text").mapInArrow(pick, "part int, doc_id long, key binary")
 
 
 def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = (), least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -189,36 +213,33 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = (), least_chars: int
     spark = docs.sparkSession
     ship(spark)
     at = shared_dir(spark)
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.lit(0), *columns).alias("rest"))
-    known = given.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    rows = materialize(suspected(known, suspects(known, at, least_chars), least_chars), f"{at}/suspected")
-    kept_in = rows.groupBy("key").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("keeper")).filter(F.col("docs") >= least_docs)
-    kept_in = materialize(kept_in.select("key", "keeper"), f"{at}/kept-in")
-    few = (kept_in.agg(F.sum(F.octet_length("key") + 64)).first()[0] or 0) <= KEYS_BYTES
-    keepers = spark.sparkContext.broadcast({bytes(r.key): r.keeper for r in kept_in.collect()} if few else None)
-    if few:
-        known = known.withColumn("lost", F.lit(None).cast("array<binary>"))
-    else:
-        lost = rows.join(kept_in, "key").filter("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
-        known = known.join(lost, "doc_id", "left")
-
+    given = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.lit(0), *columns_of(columns)).alias("rest"))
+    rows = materialize(given, f"{at}/rows")
+    write_suspects(rows, at, least_chars)
+    lines = materialize(suspected(rows, at, least_chars), f"{at}/suspected")
+    holders = F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))
+    keepers = lines.groupBy("key").agg(holders.alias("docs"), F.max("doc_id").alias("keeper")).filter(F.col("docs") >= least_docs)
+    by_part(lines.select("part", "key").distinct().join(keepers.select("key", "keeper"), "key"), f"{at}/lost")
+
+    @frugal
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keeper = keepers.value
+        last, keeper = None, {}
         for batch in batches:
             texts, counts, dropped = [], [], []
-            for doc_id, text, lost in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lost")), strict=True):
-                away = set(lost or ())
-                lines = list(keys_of(text))
-                stay = [x for x, k in lines if not (k in away if keeper is None else keeper.get(k, doc_id) != doc_id)]
+            for part, doc_id, text in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                if part != last:
+                    last, keeper = part, {k: i for t in files.rows_in(f"{at}/lost/part={part}") for k, i in zip(t.column("key").to_pylist(), t.column("keeper").to_pylist(), strict=True)}
+                lines = list(keys_of(text.as_py()))
+                stay = [x for x, k in lines if keeper.get(k, doc_id) == doc_id] if keeper else [x for x, _ in lines]
                 texts.append(b"\n".join(stay).decode())
                 counts.append(len(lines))
                 dropped.append(len(lines) - len(stay))
-            columns = [batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("rest"), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "rest", "n_lines", "n_dropped"])
+            made = [batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("rest"), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "text", "rest", "n_lines", "n_dropped"])
 
-    rest = given.schema["rest"].dataType.simpleString()
-    out = known.mapInArrow(rebuild, f"doc_id long, text string, rest {rest}, n_lines long, n_dropped long")
-    return out.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", "n_lines", "n_dropped", *[F.col(f"rest.`{c}`") for c in columns])
+    schema = StructType([*(given.schema[c] for c in ("doc_id", "text", "rest"))]).add("n_lines", "long").add("n_dropped", "long")
+    out = rows.mapInArrow(rebuild, schema)
+    return out.select("doc_id", "text", "n_lines", "n_dropped", *[F.col("rest").getField(c).alias(c) for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,10 +41,9 @@ def corpus():
     return [*rows, (7, rows[8][1]), (7, rows[8][1]), (500, None), (501, "\n\n"), (502, ""), (None, "\n".join(pool)), (503, "one " * 100_000 + "\n" + pool[3])]
 
 
-@pytest.mark.parametrize("limits", [(32 << 20, 16 << 20), (0, 0)])
-def test_query_against_brute_force(spark, tmp_path, limits, monkeypatch):
-    monkeypatch.setattr(line_dedup, "FILTER_BYTES", limits[0])
-    monkeypatch.setattr(line_dedup, "KEYS_BYTES", limits[1])
+@pytest.mark.parametrize("segment_bytes", [64 << 20, 1 << 10])
+def test_query_against_brute_force(spark, tmp_path, segment_bytes, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SEGMENT_BYTES", segment_bytes)
     rows = corpus()
     spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit("clash"), "n_lines": F.lit(1)}).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     got = [(r.doc_id is None, r.doc_id or 0, *r[1:]) for r in line_dedup.query(spark, str(tmp_path)).collect()]
@@ -72,6 +71,15 @@ def test_filters_lose_no_repeat(monkeypatch):
     assert len(seen.once) > 1 and twice[0].log2 <= Bloom(16).log2
 
 
+def test_an_id_that_ends_the_range_stays_apart_from_missing_ids(spark):
+    line = "the same line in all of these documents here"
+    rows = [(-(1 << 63), line), (None, line), (None, line), (3, line), (4, line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_dropped) for r in line_dedup.dedup_lines(docs).collect()) == [(False, -(1 << 63), 0), (False, 3, 0), (False, 4, 0), (True, 0, 0), (True, 0, 0)]
+    more = docs.union(spark.createDataFrame([(5, line)], "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.n_dropped) for r in line_dedup.dedup_lines(more).collect()) == [(-(1 << 63), 1), (0, 1), (0, 1), (3, 1), (4, 1), (5, 0)]
+
+
 def test_columns_pass_through(spark):
     docs = spark.createDataFrame([(i, "same line " * 9 + "\n" + str(i), "en") for i in range(6)], "doc_id long, text string, lang string")
     got = {r.doc_id: (r.text, r.lang) for r in line_dedup.dedup_lines(docs, ("lang",)).collect()}
