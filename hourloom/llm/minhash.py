@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import materialize, shared_dir, ship, table
+from hourloom.llm.common import frugal, materialize, shared_dir, ship, table
 
 #: Words of a shingle and likeness in percent, of the query and of other uses.
 WORDS, PERCENT = 5, 80
@@ -102,6 +102,7 @@ class Shingles:
 def sketched(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """id, n_shingles, digest (null for empty sets) and the half keys a and b of every row."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words, percent)
         for batch in batches:
@@ -137,6 +138,7 @@ def looked_up(rows: DataFrame, found: DataFrame, key: str, at: str, how: str = "
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are alike enough."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words, percent)
         last, known = None, np.empty(0, np.uint64)
@@ -159,6 +161,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
     """id and set of each text of these documents."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words, percent)
         for batch in batches:
@@ -229,12 +232,28 @@ def components(edges: DataFrame, at: str) -> DataFrame:
         edges = materialize(small.select("e.*").filter("u > v").distinct(), f"{at}/{step}")
 
 
+def largest_free(docs: DataFrame) -> int | None:
+    """The largest id that no row has, where NO_ID is a row's own id and others have none; else None."""
+    if docs.filter(F.col("id") == NO_ID).isEmpty() or docs.filter("id is null").isEmpty():
+        return None
+    span = 64
+    while True:  # at most ``span`` ids, all next to one another
+        used = {r.id for r in docs.filter(F.col("id") > NO_ID - span).select("id").distinct().collect()}
+        if len(used) < span:
+            return max(set(range(NO_ID - span + 1, NO_ID + 1)) - used)
+        span *= 64
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     spark = docs.sparkSession
     ship(spark)
     at = shared_dir(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    free = largest_free(docs)
+    if free is not None:  # inside, the ids above the free one are one less, so that NO_ID stands for none alone
+        docs = docs.withColumn("id", F.when(F.col("id") > free, F.col("id") - 1).otherwise(F.col("id")))
+    docs = docs.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text")
     rows = materialize(sketched(docs, words, percent), f"{at}/sketches")
     sets = rows.filter("digest is not null")
     classes = sets.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows_of"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
@@ -284,7 +303,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     full = looked_up(sets.select("digest", "id", "n_shingles"), of_class, "digest", f"{at}/of-class").select("id", "n_shingles", "component_id")
     # A document whose rows have no set beside rows that do keeps to itself in the former.
     out = full.unionByName(rows.filter("digest is null").select("id", "n_shingles", F.col("id").alias("component_id")))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    own = lambda c: F.col(c) if free is None else F.when(F.col(c) >= free, F.col(c) + 1).otherwise(F.col(c))
+    real = lambda c: F.when(F.col(c) != NO_ID, own(c))
     return out.select(real("id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
 
 

@@ -77,6 +77,14 @@ def test_whole_table_against_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_the_largest_id_stays_apart_from_missing_ids(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    top = minhash.NO_ID
+    rows = [(3, text("a")), (4, text("b")), (top, text("a")), (None, text("b")), (top - 1, text("c")), (top - 3, text("d"))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3: 3, 4: 4, top: 3, None: 4, top - 1: top - 1, top - 3: top - 3}
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert minhash.query(spark, str(tmp_path)).count() == 0
