@@ -16,54 +16,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm import decontamination, line_dedup, minhash, sentencepiece_codec, toxicity
-from hourloom.llm.common import materialize, shared_dir, table
+from hourloom.llm.common import columns_of, materialize, shared_dir, table
 
 #: Documents of at least this score go.
 TOXIC = 0.5
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """Each row as one column ``doc``: no column's name can clash with a stage's own."""
+    return docs.select(F.struct(*columns_of(docs.columns)).alias("doc"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs.withColumnRenamed("score", "_score"), *model, columns=tuple(docs.withColumnRenamed("score", "_score").columns)).filter(F.col("score") < TOXIC).drop("score").withColumnRenamed("_score", "score")
+    model = toxicity.learn(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    name = "toxicity"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return toxicity.scored(docs, *model, columns=tuple(docs.columns), name=name).filter(F.col(name) < TOXIC).drop(name)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    renamed = docs.select("doc_id", "text", *[F.col(c).alias(f"own_{c}") for c in others])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    renamed = docs.select("doc_id", "text", *[x.alias(f"own_{c}") for x, c in zip(columns_of(others), others, strict=True)])
     out = line_dedup.dedup_lines(renamed, tuple(f"own_{c}" for c in others))
-    out = out.select("doc_id", "text", *[F.col(f"own_{c}").alias(c) for c in others])
+    given = {c: x for c, x in zip(others, columns_of(f"own_{c}" for c in others), strict=True)} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        given["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[given[c].alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity of 0.8; the row with the smallest doc_id of each group stays."""
     at = shared_dir(spark)
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), f"{at}/rows")  # written, so that the keys hold
-    gone = behind(rows.filter("doc_id is not null"), f"{at}/with-id")
-    if not rows.filter("doc_id is null").isEmpty():
-        gone = gone.unionByName(behind(rows.filter("doc_id is null"), f"{at}/without-id"))
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    rows = whole(docs).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows, f"{at}/rows")  # written, so that the keys hold
+    slim = rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
+    gone = behind(slim.filter("doc_id is not null"), f"{at}/with-id")
+    if not slim.filter("doc_id is null").isEmpty():
+        gone = gone.unionByName(behind(slim.filter("doc_id is null"), f"{at}/without-id"))
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def behind(rows: DataFrame, at: str) -> DataFrame:
-    """_row of every row that isn't the first of its group. Rows without any word are alike only within a doc_id."""
-    alike = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
-    place = F.struct("doc_id", F.xxhash64("text").alias("text"), "_row")
+    """The keys of all rows that aren't the first of their group. Rows without any word are alike only within a doc_id."""
+    alike = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+    place = F.struct("doc_id", F.xxhash64("text").alias("text"), "row")
     empty = F.col("n_shingles") == 0
-    group = F.when(empty, F.coalesce(F.col("place.doc_id").cast("long"), "_row")).otherwise(F.col("component_id"))
-    placed = alike.join(rows.select("_row", place.alias("place")), "_row").select("_row", "place", empty.alias("empty"), group.alias("group"))
+    group = F.when(empty, F.coalesce(F.col("place.doc_id").cast("long"), "row")).otherwise(F.col("component_id"))
+    placed = alike.join(rows.select("row", place.alias("place")), "row").select("row", "place", empty.alias("empty"), group.alias("group"))
     placed = materialize(placed, at)
-    firsts = placed.groupBy("empty", "group").agg(F.min("place").alias("first")).select(F.col("first._row").alias("_row"))
-    return placed.join(firsts, "_row", "left_anti").select("_row")
+    firsts = placed.groupBy("empty", "group").agg(F.min("place").alias("first")).select(F.col("first.row").alias("row"))
+    return placed.join(firsts, "row", "left_anti").select("row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
-    hit = found.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("hit_hash"))
-    return docs.join(hit, same, "left_anti")
+    found = decontamination.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
+    hit = found.select("doc_id", "text_hash").distinct()
+    same = F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce("doc.text", F.lit(""))) == F.col("text_hash"))
+    return whole(docs).join(hit, same, "left_anti").select("doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
