@@ -63,9 +63,18 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch: texts may be long, and a worker holds a batch beside what it makes of it.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application."""
+    """Send this package to the executors' Python workers, once for each application, and keep Arrow batches
+    small unless the application's own settings name their size."""
     sc = spark.sparkContext
+    for key, most in _BATCH.items():
+        if not sc.getConf().contains(key):
+            spark.conf.set(key, str(most))
     if getattr(sc, "_hourloom_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -39,7 +39,7 @@ from hourloom.llm.common import frugal, materialize, shared_dir, ship, table
 WORDS, PERCENT = 5, 80
 QUERY_WORDS, QUERY_PERCENT = 3, 85
 #: Minhashes of a half key; chance of a missed link at the threshold; words that a task remembers.
-HALF, MISS, CACHED_WORDS = 2, 2e-5, 1_000_000
+HALF, MISS, CACHED_WORDS = 2, 2e-5, 200_000
 NO_ID = (1 << 63) - 1
 #: A shingle that at most so many open nodes hold is rare.
 RARE = 8

@@ -31,11 +31,11 @@ from hourloom.llm.common import frugal, ship, table
 
 VOCABULARY = "piece_bpe_32k.model"
 #: The library's mark of a space, and the segments that a task remembers.
-MARK, CACHED_SEGMENTS = "▁", 800_000
+MARK, CACHED_SEGMENTS = "▁", 150_000
 #: Segments of up to so many characters use the list agenda; the rank of a pair that is no piece.
 SHORT, NEVER = 40, float("inf")
 #: Segments beyond this length aren't remembered; documents whose ids a task holds at a time.
-LONGEST, FEW = 64, 256
+LONGEST, FEW = 64, 64
 _loaded: dict = {}
 
 

@@ -42,7 +42,7 @@ from hourloom.llm.warc import spread
 #: Fixed values of the public formats: skippable frames, their kinds used here, the seek table's end.
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, TABLE_END = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: Plain bytes of a frame; ids of a file; words that a task remembers.
-FRAME_BYTES, FILE_IDS, CACHED_WORDS = 1 << 20, 1 << 28, 800_000
+FRAME_BYTES, FILE_IDS, CACHED_WORDS = 1 << 20, 1 << 28, 200_000
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 ENTRY, FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
 #: Letters, then marks that neither the splitter's apostrophe rules nor special tokens concern.

@@ -49,7 +49,7 @@ SUPPORT, STEM_WORDS, SHARE, DEVIATIONS, STEM_LENGTHS = 5, 3, 0.3, 6.0, range(4,
 EDITS, EDIT_SHARE, EDIT_SUPPORT = ((9, 2), (5, 1)), 0.95, 10
 EDIT_FACTOR = 0.5
 #: Tokens on each side of a hit that are looked at; tokens and automaton states that a task remembers.
-WINDOW, CACHED_TOKENS, CACHED_STATES = 12, 500_000, 200_000
+WINDOW, CACHED_TOKENS, CACHED_STATES = 12, 100_000, 50_000
 TOKEN = re.compile(r"\w+")
 SPOKEN = re.compile(r"\w+|[\"“”„«»‘’]")
 #: Quotation marks with what closes each, words of reporting and of address, in the corpus's languages.
