@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourloom.operators import windows as W
@@ -69,17 +69,10 @@ def distinct_and_granularity(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def variance_share(df: DataFrame, x: str, share: float) -> DataFrame:
-    """Part of the squared deviations that the largest values make, the top floor(n * share) rows.
-
-    Values are counted first, and the running count restarts in each value range, so no task sorts all rows.
-    """
-    total = df.agg(F.avg(x).alias("_mean"), F.count(x).alias("_all"))
-    counts = df.filter(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(F.desc(x)).withColumn("_part", F.spark_partition_id())
-    running = Window.partitionBy("_part").orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, 0)
-    inside = counts.withColumn("_upto", F.sum("_n").over(running))
-    before = inside.groupBy("_part").agg(F.sum("_n").alias("_t")).select("_part", (F.sum("_t").over(Window.orderBy("_part")) - F.col("_t")).alias("_before"))
-    rows = inside.join(F.broadcast(before), "_part").crossJoin(F.broadcast(total))
-    room = F.floor(F.col("_all") * share) - (F.col("_before") + F.col("_upto") - F.col("_n"))
-    taken = F.greatest(F.least(room, F.col("_n")), F.lit(0))
-    squared = F.pow(F.col(x) - F.col("_mean"), F.lit(2.0))
-    return rows.agg((F.sum(taken * squared) / F.sum(F.col("_n") * squared)).alias("share"))
+    """Part of the squared deviations that the largest values make, the top floor(n * share) rows."""
+    total = df.agg(F.avg(x).alias("_mean"))
+    rows = W.cumulative(df, x).crossJoin(F.broadcast(total))  # one row
+    above = F.col("all") - F.col("first") - F.col("n")
+    taken = F.greatest(F.least(F.floor(F.col("all") * share) - above, F.col("n")), F.lit(0))
+    squared = F.pow(F.col("value") - F.col("_mean"), F.lit(2.0))
+    return rows.agg((F.sum(taken * squared) / F.sum(F.col("n") * squared)).alias("share"))

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourloom.functions.scalar import COMPASS
 from hourloom.operators.windows import interpolate
+from hourloom.sources.staging import staged
+
+#: The measures of a station panel.
+POLLUTANTS = ["PM10", "SO2", "NO2", "CO", "O3"]
+WEATHER = ["TEMP", "PRES", "DEWP", "RAIN", "WSPM"]
+MEASURES = POLLUTANTS + WEATHER
 
 
 def hour_of(ts: Column) -> Column:
@@ -15,29 +22,60 @@ def hour_of(ts: Column) -> Column:
     return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.minute(ts), F.date_part(F.lit("SECOND"), ts))
 
 
+def hours(k: int) -> Column:
+    return F.make_dt_interval(F.lit(0), F.lit(k))
+
+
+def _observations(events: DataFrame, entity: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return events.select(F.col(entity).alias("entity"), hour_of(F.col("ts")).alias("hour"), "value", k.alias("k"), "user_id")
+
+
 def facts(events: DataFrame, entity: str) -> DataFrame:
     """One row for each entity and hour with observations."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    rows = events.select(F.col(entity).alias("entity"), hour_of(F.col("ts")).alias("hour"), "value", k.alias("k"), "user_id")
-    return rows.groupBy("entity", "hour").agg(
+    return _observations(events, entity).groupBy("entity", "hour").agg(
         F.avg("value").alias("x"), F.avg("k").alias("c"), F.sum(F.when(F.col("k") < 10, F.col("value")).otherwise(0.0)).alias("rain"),
         F.max(F.col("user_id") % 16).cast("int").alias("wd"), (F.count(F.lit(1)) * 0.5).alias("wspm"),
     )
 
 
+def measure_facts(events: DataFrame, entity: str) -> DataFrame:
+    """One row for each entity and hour with all ten measures and a wind direction; some are missing."""
+    most = F.max("k")
+    return _observations(events, entity).groupBy("entity", "hour").agg(
+        F.avg("value").alias("PM10"), F.min("value").alias("SO2"), F.when(F.count(F.lit(1)) > 1, F.max("value")).alias("NO2"), F.avg("k").alias("CO"),
+        F.when(most % 5 != 0, most.cast("double")).alias("O3"), (F.avg("k") / 2 - 10).alias("TEMP"), (F.min("k") + F.lit(1000.0)).alias("PRES"), (F.avg("k") / 4 - 12).alias("DEWP"),
+        F.sum(F.when(F.col("k") < 10, F.col("value")).otherwise(0.0)).alias("RAIN"), (F.count(F.lit(1)) * 0.5).alias("WSPM"),
+        F.element_at(F.array(*map(F.lit, COMPASS)), (F.max(F.col("user_id") % 16) + 1).cast("int")).alias("wd"),
+    )
+
+
 def grid(rows: DataFrame, own_bounds: bool = False) -> DataFrame:
     """entity, hour, pos: all hours between the first and the last, of all or of each entity."""
-    hours = F.expr("sequence(lo, hi, interval 1 hour)")
-    if own_bounds:
-        bounds = rows.groupBy("entity").agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
-    else:
-        bounds = rows.select("entity").distinct().crossJoin(F.broadcast(rows.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))))
-    return bounds.select("entity", F.posexplode(hours).alias("pos", "hour")).select("entity", "hour", "pos")
+    return dense(rows.select("entity", "hour"), own_bounds).select("entity", "hour", "pos")
 
 
 def dense(rows: DataFrame, own_bounds: bool = False) -> DataFrame:
-    """The grid with the facts where there are any."""
-    return grid(rows, own_bounds).join(rows, ["entity", "hour"], "left")
+    """entity, hour, pos and the rows' other columns, for all hours between the first and the last, of all or of each entity.
+
+    A row is stretched over the hours up to the entity's next one, so one window by entity makes the grid, nothing
+    is joined with it, and what follows by entity needs no exchange. An (entity, hour) that occurs twice raises.
+    """
+    values = [c for c in rows.columns if c not in ("entity", "hour")]
+    ordered = Window.partitionBy("entity").orderBy("hour")
+    rows = rows.filter(F.col("hour").isNotNull())
+    after, before, own = F.lead("hour").over(ordered), F.lag("hour").over(ordered), F.min("hour").over(Window.partitionBy("entity"))
+    if own_bounds:
+        start, stop, origin = F.col("hour"), F.coalesce(after - hours(1), F.col("hour")), own
+    else:
+        bounds = rows.agg(F.min("hour").alias("_lo"), F.max("hour").alias("_hi"))
+        rows = rows.crossJoin(F.broadcast(bounds))  # one row
+        start, stop, origin = F.when(before.isNull(), F.col("_lo")).otherwise(F.col("hour")), F.coalesce(after - hours(1), F.col("_hi")), F.col("_lo")
+    twice = F.raise_error(F.concat(F.lit("an hour occurs twice: "), F.col("entity").cast("string"), F.lit(", "), F.col("hour").cast("string")))
+    spans = rows.select("entity", F.col("hour").alias("_at"), *values, start.alias("_start"), F.when(after == F.col("hour"), twice.cast("timestamp_ntz")).otherwise(stop).alias("_stop"), origin.alias("_origin"))
+    cells = spans.select("entity", "_at", "_origin", *values, F.explode(F.expr("sequence(_start, _stop, interval 1 hour)")).alias("hour"))
+    here = F.col("hour") == F.col("_at")
+    return cells.select("entity", "hour", F.timestamp_diff("HOUR", F.col("_origin"), F.col("hour")).cast("int").alias("pos"), *[F.when(here, F.col(c)).alias(c) for c in values])
 
 
 def require_unique(rows: DataFrame) -> None:
@@ -47,18 +85,36 @@ def require_unique(rows: DataFrame) -> None:
         raise ValueError(f"{twice.entity}, {twice.hour} occurs {twice['count']} times")
 
 
-def with_hourly(panel: DataFrame, **aggs: Column) -> DataFrame:
-    """Aggregates over the entities of each hour, joined back: the wide panel isn't dealt anew by hour."""
-    return panel.join(panel.groupBy("hour").agg(*[a.alias(n) for n, a in aggs.items()]), "hour")
+def with_hourly(panel: DataFrame, shifts: dict[str, tuple[int, ...]] | None = None, **aggs: Column) -> DataFrame:
+    """Aggregates over the entities of each hour, joined back: the wide panel isn't dealt anew by hour.
+
+    ``shifts`` names hours ahead (negative: before) at which a column is wanted too, as <column>_lead<k> or
+    _lag<k>: they are taken in the small table of hours, by key, without a window over it.
+    """
+    table = panel.groupBy("hour").agg(*[a.alias(n) for n, a in aggs.items()])
+    if shifts:
+        offsets = sorted({0, *(k for ks in shifts.values() for k in ks)})
+        copies = table.select(F.inline(F.array(*[F.struct(F.lit(k).alias("_k"), (F.col("hour") - hours(k)).alias("_at")) for k in offsets])), *aggs)
+        at = lambda n, k: F.max(F.when(F.col("_k") == k, F.col(n)))
+        named = [at(n, 0).alias(n) for n in aggs] + [at(n, k).alias(f"{n}_{'lead' if k > 0 else 'lag'}{abs(k)}") for n, ks in shifts.items() for k in ks]
+        table = copies.groupBy(F.col("_at").alias("hour")).agg(*named)
+    return panel.join(table, "hour")
 
 
 def impute(panel: DataFrame, columns: list[str], limit: int = 6) -> DataFrame:
     """Interior interpolation, then the hour's median times the entity's usual ratio to it.
 
-    Infinite ratios and products (a median of 0) count as missing.
+    Infinite ratios and products (a median of 0) count as missing. The interpolated panel is written once: the hours'
+    medians, the ratios and the result all read it.
     """
     finite: Callable[[Column], Column] = lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
-    out = with_hourly(interpolate(panel, columns, limit), **{f"_city_{c}": F.median(c) for c in columns})
+    out = with_hourly(staged(interpolate(panel, columns, limit)), **{f"_city_{c}": F.median(c) for c in columns})
     ratio = {c: F.median(finite(F.try_divide(F.col(c), F.col(f"_city_{c}")))).alias(f"_ratio_{c}") for c in columns}
     out = out.join(out.groupBy("entity").agg(*ratio.values()), "entity")
     return out.withColumns({c: F.coalesce(F.col(c), finite(F.col(f"_city_{c}") * F.col(f"_ratio_{c}"))) for c in columns}).select(panel.columns)
+
+
+def lookup(requested: DataFrame, features: DataFrame, at: str = "hour") -> DataFrame:
+    """Each requested row (entity, ``at`` and whatever else it has) with the features of its cell, NULL where there is none."""
+    own = [c for c in features.columns if c not in ("entity", "hour")]
+    return requested.join(features.select(F.col("entity"), F.col("hour").alias(at), *own), ["entity", at], "left").select(*requested.columns, *own)

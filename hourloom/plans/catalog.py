@@ -14,67 +14,9 @@ from hourloom.operators import explore as X
 from hourloom.operators import panel as P
 from hourloom.operators import tiers as T
 from hourloom.operators import windows as W
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-#: Entities of the dense panel; members and folds of the prediction fixture.
-TYPES = ["click", "error", "purchase", "signup", "view"]
-MEMBERS = ["p1", "p2", "p3"]
-FOLD = ("1999-01-01", "1999-07-01")
-
-FACTS = """facts AS (
-  SELECT {entity} AS entity, date_trunc('hour', ts) AS hour, avg(value) AS x, avg(k) AS c, sum(CASE WHEN k < 10 THEN value ELSE 0 END) AS rain,
-         CAST(max(user_id % 16) AS INTEGER) AS wd, count(*) * 0.5::DOUBLE AS wspm
-  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY ALL
-), bounds AS (SELECT min(hour) AS lo, max(hour) AS hi FROM facts
-), grid AS (SELECT entity, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hour FROM (SELECT DISTINCT entity FROM facts), bounds
-), panel AS (SELECT g.entity, g.hour, CAST(date_diff('hour', b.lo, g.hour) AS INTEGER) AS pos, x, c, rain, wd, wspm, c / 2 - 10 AS temp, c / 4 - 12 AS dew
-  FROM grid g CROSS JOIN bounds b LEFT JOIN facts f ON f.entity = g.entity AND f.hour = g.hour)"""
-TYPE_SQL, USER_SQL = FACTS.format(entity="event_type"), FACTS.format(entity="user_id")
-WIN = "WINDOW w AS (PARTITION BY entity ORDER BY hour)"
-PRED = """pred AS (SELECT o_orderkey AS id, o_orderdate AS t, o_orderpriority AS priority, month(o_orderdate) AS month, o_totalprice AS y,
-  0.9::DOUBLE * o_totalprice + 3 AS p1, 1.05::DOUBLE * o_totalprice - 2 * (o_orderkey % 7) AS p2, o_totalprice + (o_orderkey % 11) - 5 AS p3 FROM orders)"""
-
-
-def register(sql: str | None = None, doubles: str = "") -> Callable:
-    """Register a query under the function's name; both sides round the named columns to six places."""
-
-    def add(build: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        names = doubles.split()
-
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(spark, sf_dir).withColumns({c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0) for c in names})
-
-        QUERIES[build.__name__] = run if names else build
-        if sql:
-            rounded = ", ".join(f'round("{c}"::DOUBLE, 6) + 0.0::DOUBLE AS "{c}"' for c in names)
-            ORACLES[build.__name__] = f"SELECT * REPLACE ({rounded}) FROM ({sql})" if names else sql
-        return build
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def panel(spark: SparkSession, sf_dir: str, entity: str = "event_type", own_bounds: bool = False) -> DataFrame:
-    out = P.dense(P.facts(read(spark, sf_dir, "events"), entity), own_bounds)
-    return out.withColumns({"temp": F.col("c") / 2 - 10, "dew": F.col("c") / 4 - 12})
-
-
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y, key = F.col("o_totalprice"), F.col("o_orderkey")
-    return read(spark, sf_dir, "orders").select(
-        key.alias("id"), F.col("o_orderdate").alias("t"), F.col("o_orderpriority").alias("priority"), F.month("o_orderdate").alias("month"), y.alias("y"),
-        (y * 0.9 + 3).alias("p1"), (y * 1.05 - key % 7 * 2).alias("p2"), (y + key % 11 - 5).alias("p3"),
-    )
-
-
-def over(expressions: dict[str, str], source: str = "panel", base: str = TYPE_SQL) -> str:
-    said = ", ".join(f'{e} AS "{n}"' for n, e in expressions.items())
-    return f"WITH {base} SELECT entity, hour, {said} FROM {source} {WIN}"
+from hourloom.plans import model_queries, tier_queries  # noqa: F401  they register queries too
+from hourloom.plans.registry import FOLD, MEMBERS, ORACLES, PRED, QUERIES, TYPE_SQL, TYPES, USER_SQL, WIN, frame_sql, imputed_sql, over, panel, predictions, read, register
+from hourloom.sources.staging import staged
 
 
 def features(name: str, build: Callable[[], T.Features], sql: dict[str, str], exact: tuple[str, ...] = ()) -> None:
@@ -123,131 +65,25 @@ def null_rates(spark, sf_dir):
     return X.null_rates(panel(spark, sf_dir, "user_id"), ["x", "c", "rain", "wd"])
 
 
-RUNNING = "OVER (PARTITION BY entity ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-AHEAD = "OVER (PARTITION BY entity ORDER BY hour DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-ENDS = ", ".join(f"last_value({v} IGNORE NULLS) {o} AS {n}" for c in ("x", "c") for v, s in ((c, "v"), (f"CASE WHEN {c} IS NOT NULL THEN pos END", "p")) for o, n in ((RUNNING, f"{s}0{c}"), (AHEAD, f"{s}1{c}")))
-FILL = ", ".join(f"coalesce({c}, CASE WHEN pos - p0{c} <= 6 THEN v0{c} + (v1{c} - v0{c}) * (pos - p0{c}) / (p1{c} - p0{c}) END) AS {c}" for c in ("x", "c"))
-FILLED = f"{USER_SQL}, ends AS (SELECT entity, hour, pos, x, c, {ENDS} FROM panel), filled AS (SELECT entity, hour, {FILL} FROM ends)"
-IMPUTED = f"""{FILLED}, city AS (SELECT hour, median(x) AS mx, median(c) AS mc FROM filled GROUP BY hour),
-ratio AS (SELECT entity, median(CASE WHEN mx <> 0 THEN x / mx END) AS rx, median(CASE WHEN mc <> 0 THEN c / mc END) AS rc FROM filled JOIN city USING (hour) GROUP BY entity),
-imputed AS (SELECT entity, hour, coalesce(x, mx * rx) AS x, coalesce(c, mc * rc) AS c FROM filled JOIN city USING (hour) JOIN ratio USING (entity))"""
+IMPUTED = imputed_sql(USER_SQL, ["x", "c"])
 
 
-@register(f"WITH {FILLED} SELECT * FROM filled", "x c")
+@register(f"WITH {IMPUTED} SELECT entity, hour, x, c FROM filled", "x c")
 def interpolate_limit6(spark, sf_dir):
     return W.interpolate(panel(spark, sf_dir, "user_id"), ["x", "c"]).select("entity", "hour", "x", "c")
 
 
-@register(f"WITH {IMPUTED} SELECT * FROM imputed", "x c")
+@register(f"WITH {IMPUTED} SELECT entity, hour, x, c FROM imputed", "x c")
 def cross_entity_fill(spark, sf_dir):
     return P.impute(panel(spark, sf_dir, "user_id"), ["x", "c"]).select("entity", "hour", "x", "c")
 
 
-@register(f"WITH {USER_SQL} SELECT entity, hour, CAST(x IS NULL AS INTEGER) AS E_x_was_null, CAST(c IS NULL AS INTEGER) AS E_c_was_null FROM panel")
-def was_null_flags(spark, sf_dir):
-    return panel(spark, sf_dir, "user_id").select("entity", "hour", *[c.alias(n) for n, c in T.was_null(["x", "c"]).items()])
-
-
-# Feature tiers
-
-
-def _calendar_sql() -> dict[str, str]:
-    heating = "CAST(month(hour) IN (12, 1, 2) OR (month(hour) = 11 AND day(hour) >= 15) OR (month(hour) = 3 AND day(hour) <= 15) AS INTEGER)"
-    out = {"A_hour": "CAST(hour(hour) AS INTEGER)", "A_dow": "CAST(isodow(hour) - 1 AS INTEGER)", "A_doy": "CAST(dayofyear(hour) AS INTEGER)", "A_month": "CAST(month(hour) AS INTEGER)", "A_is_weekend": "CAST(isodow(hour) >= 6 AS INTEGER)"}
-    for n, e, period in (("hour", "hour(hour)", "24"), ("doy", "dayofyear(hour)", "365.25::DOUBLE")):
-        out |= {f"A_{n}_{f}": f"{f}(2 * pi() * {e} / {period})" for f in ("sin", "cos")}
-    return out | {"A_heating": heating}
-
-
-features("tier_calendar", lambda: S.calendar(F.col("hour")), _calendar_sql(), ("A_hour", "A_dow", "A_doy", "A_month", "A_is_weekend", "A_heating"))
-_PRESSURE = "exp(17.625::DOUBLE * {0} / (243.04::DOUBLE + {0}))"
-features(
-    "tier_meteo",
-    lambda: T.meteo("temp", "dew", "wspm", "wd", "rain"),
-    {
-        "B_wind_u": "-wspm * sin(radians(wd * 22.5::DOUBLE))", "B_wind_v": "-wspm * cos(radians(wd * 22.5::DOUBLE))",
-        "B_wd_sin": "sin(radians(wd * 22.5::DOUBLE))", "B_wd_cos": "cos(radians(wd * 22.5::DOUBLE))",
-        "B_rh": f"CASE WHEN temp IS NOT NULL THEN least(greatest(100 * {_PRESSURE.format('dew')} / {_PRESSURE.format('temp')}, 0), 100) END",
-        "B_dewpoint_depression": "temp - dew", "B_is_raining": "CAST(rain > 0 AS INTEGER)", "B_stagnation": "1 / (wspm + 0.1::DOUBLE)",
-    },
-    ("B_is_raining",),
-)
-M = ("x", "c")
-features("lead_features", lambda: T.leads(M) | T.has_lead("x"), {f"C0_{m}_lead{k}": f"lead({m}, {k}) OVER w" for m in M for k in (1, 2, 3)} | {f"C0_{m}_delta1": f"lead({m}) OVER w - {m}" for m in M} | {"C0_has_lead": "CAST(lead(x) OVER w IS NOT NULL AS INTEGER)"}, ("C0_has_lead",))
-features("lag_features", lambda: T.lags(M), {f"C_{m}_lag{k}": f"lag({m}, {k}) OVER w" for m in M for k in T.LAGS})
-features("diff_features", lambda: T.diffs(M), {f"C_{m}_diff{k}": f"{m} - lag({m}, {k}) OVER w" for m in M for k in T.DIFFS})
-
-
-def _roll(f: str, m: str, width: int, least: int | None = None) -> str:
-    least = max(2, width // 3) if least is None else least
-    o = f"OVER (PARTITION BY entity ORDER BY hour ROWS BETWEEN {width - 1} PRECEDING AND CURRENT ROW)"
-    return f"CASE WHEN count({m}) {o} >= {least} THEN {f}({m}) {o} END"
-
-
-features("rolling_mean", lambda: T.rolling_means(M), {f"C_{m}_rmean{w}": _roll("avg", m, w) for m in M for w in T.MEANS})
-features("rolling_std", lambda: T.rolling_stds(M), {f"C_{m}_rstd{w}": _roll("stddev_samp", m, w) for m in M for w in T.STDS})
-features("level_vs_24h", lambda: T.level_vs_24h("x"), {"C_x_vs_24h": f"x / ({_roll('avg', 'x', 24)} + 1)"})
-_ACCEL = {f"G_{m}_lead{k}": f"lead({m}, {k}) OVER w" for m in M for k in (4, 5, 6)}
-for _m in M:
-    _ACCEL |= {f"G_{_m}_delta2": f"lead({_m}, 2) OVER w - {_m}", f"G_{_m}_delta3": f"lead({_m}, 3) OVER w - {_m}", f"G_{_m}_accel": f"(lead({_m}, 2) OVER w - lead({_m}) OVER w) - (lead({_m}) OVER w - {_m})"}
-features("accel_features", lambda: T.accelerations(M), _ACCEL)
-features("ratio_features", lambda: T.ratios("x", "c"), {"F_x_c_ratio": "x / (c + 1)", "F_x_c_product": "x * c", "F_x_share": "x / nullif(x + c, 0)"})
-features("observed_flags", lambda: T.observed(M), {f"H_{m}_obs": f"CAST(lead({m}) OVER w IS NOT NULL AS INTEGER)" for m in M} | {"H_obs_count": "CAST(lead(x) OVER w IS NOT NULL AS INTEGER) + CAST(lead(c) OVER w IS NOT NULL AS INTEGER)"}, ("H_x_obs", "H_c_obs", "H_obs_count"))
-features("raw_leads", lambda: T.raw_leads(["x"]), {"H_rawlead1_x": "lead(x) OVER w", "H_rawlead2_x": "lead(x, 2) OVER w", "H_rawnow_x": "x", "H_obs_now_x": "CAST(x IS NOT NULL AS INTEGER)"}, ("H_obs_now_x",))
-_CHANGE = "lead(temp) OVER w - lag(temp, 12) OVER w"
-features("stability_proxy", lambda: T.stability("temp"), {"H_inv_change12": _CHANGE, "H_inv_clipped": f"CASE WHEN {_CHANGE} < -10 THEN -10 WHEN {_CHANGE} > 10 THEN 10 ELSE {_CHANGE} END"})
-_BEFORE = "OVER (PARTITION BY entity ORDER BY hour ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)"
-_ROLL6 = f"CASE WHEN count(x) {_BEFORE} >= 2 THEN avg(x) {_BEFORE} END"
-features("stage2_hats", lambda: T.stage_two("x"), {f"S_lag{k}": f"lag(x, {k}) OVER w" for k in (1, 2, 3, 6)} | {"S_trend1": "x - lag(x) OVER w", "S_trend3": "x - lag(x, 3) OVER w", "S_roll6": _ROLL6, "S_vs_roll6": f"x - {_ROLL6}"})
-features("hours_since_event", lambda: {"H_hours_since_rain": W.hours_since(F.col("rain") > 0)}, {"H_hours_since_rain": f"least(coalesce(pos - max(CASE WHEN rain > 0 THEN pos END) {RUNNING}, 999), 999)"}, ("H_hours_since_rain",))
+# Columns of a panel
+
 features("smooth_predictions", lambda: {f"smooth{w}": F.avg("x").over(W.frame(-(w // 2), w // 2)) for w in (3, 5)}, {f"smooth{w}": f"avg(x) OVER (PARTITION BY entity ORDER BY hour ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING)" for w in (3, 5)})
 features("previous_target_guarded", lambda: {"now": F.when(F.timestamp_diff("SECOND", W.lag("hour", 1), F.col("hour")) == 3600, W.lag("x", 1))}, {"now": "CASE WHEN date_diff('second', lag(hour) OVER w, hour) = 3600 THEN lag(x) OVER w END"})
 
 CITY = f"{TYPE_SQL}, city AS (SELECT hour, avg(x) AS mean, median(x) AS med, stddev_samp(x) AS std, max(x) AS max, max(x) - min(x) AS range, count(x) AS reporting FROM panel GROUP BY hour), wide AS (SELECT * FROM panel JOIN city USING (hour))"
-CITY_COLUMNS = [f"D_x_city_{k}" for k in ("mean", "med", "std", "max", "range")]
-
-
-@register(f"WITH {CITY} SELECT entity, hour, " + ", ".join(f'"{c.rsplit("_", 1)[1]}" AS {c}' for c in CITY_COLUMNS) + " FROM wide", " ".join(CITY_COLUMNS))
-def city_aggregates(spark, sf_dir):
-    return T.with_city(panel(spark, sf_dir), ["x"]).select("entity", "hour", *CITY_COLUMNS)
-
-
-@register(f"WITH {CITY} SELECT entity, hour, x - mean AS D_x_anom FROM wide", "D_x_anom")
-def city_anomaly(spark, sf_dir):
-    return T.with_city(panel(spark, sf_dir), ["x"]).select("entity", "hour", "D_x_anom")
-
-
-CITY_SHIFTS = {
-    "D_x_city_mean_lead1": "lead(mean) OVER w", "D_x_city_mean_lag1": "lag(mean) OVER w", "D_x_city_mean_diff1": "mean - lag(mean) OVER w",
-    "G_x_city_lead2": "lead(mean, 2) OVER w", "G_x_lead_anom": "lead(x) OVER w - lead(mean) OVER w", "G_x_city_range_lead1": "lead(range) OVER w",
-}
-
-
-@register(over(CITY_SHIFTS, "wide", CITY), " ".join(CITY_SHIFTS))
-def city_lead_lag(spark, sf_dir):
-    wide = T.with_city(panel(spark, sf_dir), ["x"])
-    return wide.select("entity", "hour", *[c.alias(n) for n, c in T.city_lead_lag(["x"]).items()])
-
-
-@register(over({"H_city_obs": "lead(reporting) OVER w"}, "wide", CITY))
-def city_observed_count(spark, sf_dir):
-    return P.with_hourly(panel(spark, sf_dir), _n=F.count("x")).select("entity", "hour", W.lead("_n", 1).alias("H_city_obs"))
-
-
-AHEAD3 = f"{TYPE_SQL}, ahead AS (SELECT *, lead(x, 3) OVER w AS a, lead(x) OVER w AS next, lead(rain) OVER w AS nr FROM panel {WIN})"
-CENTRED = {f"H_x_cw5_{n}": _roll(f, "a", 5, 2) for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))}
-CENTRED["H_x_cw5_pos"] = f"(next - {CENTRED['H_x_cw5_mean']}) / ({CENTRED['H_x_cw5_std']} + 1)"
-
-
-@register(over(CENTRED, "ahead", AHEAD3), " ".join(CENTRED))
-def centred_window(spark, sf_dir):
-    return T.centred(panel(spark, sf_dir), "x").select("entity", "hour", *CENTRED)
-
-
-@register(over({f"H_rain_sum{w}": _roll("sum", "nr", w, 1) for w in (6, 24)}, "ahead", AHEAD3), "H_rain_sum6 H_rain_sum24")
-def rolling_shifted_sum(spark, sf_dir):
-    return T.shifted_sums(panel(spark, sf_dir), "rain").select("entity", "hour", "H_rain_sum6", "H_rain_sum24")
-
 
 # Profiles
 
@@ -358,11 +194,15 @@ def qcut_profile(spark, sf_dir):
     return W.quantile_bucket(predictions(spark, sf_dir), "y", 10, "bucket").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
 
 
-@register("SELECT o_orderpriority AS priority, avg(o_totalprice) FILTER (o) AS old_mean, avg(o_totalprice) FILTER (NOT o) AS new_mean, median(o_totalprice) FILTER (o) AS old_median, median(o_totalprice) FILTER (NOT o) AS new_median, (avg(o_totalprice) FILTER (NOT o) / avg(o_totalprice) FILTER (o) - 1) * 100 AS change_pct FROM (SELECT *, o_orderdate < TIMESTAMP '1999-01-01' AS o FROM orders) GROUP BY 1", "old_mean new_mean old_median new_median change_pct")
+_P95 = "quantile_cont(o_totalprice, 0.95) FILTER ({0})"
+
+
+@register(f"SELECT o_orderpriority AS priority, avg(o_totalprice) FILTER (o) AS old_mean, avg(o_totalprice) FILTER (NOT o) AS new_mean, median(o_totalprice) FILTER (o) AS old_median, median(o_totalprice) FILTER (NOT o) AS new_median, {_P95.format('o')} AS old_p95, {_P95.format('NOT o')} AS new_p95, (avg(o_totalprice) FILTER (NOT o) / avg(o_totalprice) FILTER (o) - 1) * 100 AS change_pct FROM (SELECT *, o_orderdate < TIMESTAMP '1999-01-01' AS o FROM orders) GROUP BY 1", "old_mean new_mean old_median new_median old_p95 new_p95 change_pct")
 def drift_table(spark, sf_dir):
-    old = F.when(F.col("t") < F.lit(FOLD[0]).cast("timestamp_ntz"), F.col("y"))
-    new = F.when(F.col("t") >= F.lit(FOLD[0]).cast("timestamp_ntz"), F.col("y"))
-    out = predictions(spark, sf_dir).groupBy("priority").agg(F.avg(old).alias("old_mean"), F.avg(new).alias("new_mean"), F.median(old).alias("old_median"), F.median(new).alias("new_median"))
+    cut = F.lit(FOLD[0]).cast("timestamp_ntz")
+    parts = {"old": F.when(F.col("t") < cut, F.col("y")), "new": F.when(F.col("t") >= cut, F.col("y"))}
+    kinds = {"mean": F.avg, "median": F.median, "p95": lambda x: F.percentile(x, F.lit(0.95))}
+    out = predictions(spark, sf_dir).groupBy("priority").agg(*[f(x).alias(f"{side}_{kind}") for kind, f in kinds.items() for side, x in parts.items()])
     return out.withColumn("change_pct", (F.try_divide("new_mean", "old_mean") - 1) * 100)
 
 
@@ -476,9 +316,27 @@ def paired_block_sums(spark, sf_dir):
     return E.paired_blocks(predictions(spark, sf_dir), "t", "p1", "p2")
 
 
-@register()
+#: Draws by the same remainders of squares as the operator's.
+_X = "(d.draw * 48271 + place * 69621 + 42) % 2147483647"
+for _more in ("place", "d.draw", "42", "place"):
+    _X = f"list_transform([{_X}], lambda x: (x * x + {_more}) % 2147483647)[1]"
+DRAWS = f"""{PRED}, s AS (SELECT t, y / 1000 AS y, p1 / 1000 AS p1, p2 / 1000 AS p2 FROM pred),
+blocks AS (SELECT CAST(floor(date_diff('hour', TIMESTAMP '1970-01-01', t) / 24.0) AS BIGINT) AS block, sum(pow(p1 - y, 2) - pow(p2 - y, 2)) AS total, count(*) AS n FROM s GROUP BY 1),
+numbered AS (SELECT row_number() OVER (ORDER BY block) AS at, total, n FROM blocks), places AS (SELECT at - 1 AS place, (SELECT count(*) FROM blocks) AS b FROM numbered),
+picks AS (SELECT d.draw, {_X} % b + 1 AS at FROM range(2000) AS d(draw), places), means AS (SELECT draw, sum(total) / sum(n) AS m FROM picks JOIN numbered USING (at) GROUP BY draw),
+told AS (SELECT avg(m) AS mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, avg(CAST(m > 0 AS DOUBLE)) AS p_worse FROM means),
+known AS (SELECT sqrt(avg(pow(y - p2, 2))) AS base, avg(pow(p1 - y, 2) - pow(p2 - y, 2)) AS delta FROM s)"""
+_SCALE = "sqrt(greatest(base * base + {0}, 0)) - base"
+
+
+@register(
+    f"WITH {DRAWS} SELECT mean, low, high, p_worse, {_SCALE.format('delta')} AS rmse_delta, {_SCALE.format('low')} AS rmse_low, {_SCALE.format('high')} AS rmse_high, CASE WHEN high < 0 THEN 'better' WHEN low > 0 THEN 'worse' ELSE 'not separable' END AS verdict FROM told, known",
+    "mean low high p_worse rmse_delta rmse_low rmse_high",
+)
 def paired_bootstrap_ci(spark, sf_dir):
-    return E.paired_bootstrap(predictions(spark, sf_dir), "t", "p1", "p2")
+    """Prices in thousands, so that sums of squares keep their digits."""
+    rows = predictions(spark, sf_dir).select("t", *[(F.col(c) / 1000).alias(c) for c in ("y", "p1", "p2")])
+    return E.paired_bootstrap(rows, "t", "p1", "p2")
 
 
 @register(f"WITH {PRED} SELECT regr_slope(y, p2) AS slope, regr_intercept(y, p2) AS intercept, corr(y, p2) AS r FROM pred", "slope intercept r")
@@ -518,12 +376,34 @@ def result_checks(spark, sf_dir):
     return E.result_problems(rows.filter("id % 10 <> 3").select("id", value.alias("p")), rows.select("id"), "id", "p")
 
 
-def flagship(spark: SparkSession, sf_dir: str, entity: str = "event_type") -> DataFrame:
-    """Imputed panel with leads, lags, differences, rolling, city and ratio columns."""
-    wide = T.with_city(P.impute(panel(spark, sf_dir, entity), ["x", "c"]), ["x", "c"])
-    m = ["x", "c"]
-    made = T.leads(m) | T.lags(m) | T.diffs(m) | T.rolling_means(m) | T.rolling_stds(m) | T.city_lead_lag(m) | T.ratios("x", "c")
-    return wide.select("entity", "hour", "x", "c", *[n for n in wide.columns if n.startswith("D_")], *[c.alias(n) for n, c in made.items()])
+M = ["x", "c"]
 
 
-QUERIES["flagship_panel"] = partial(flagship, entity="user_id")
+def flagship(spark: SparkSession, sf_dir: str, entity: str = "event_type") -> DataFrame:
+    """Imputed panel with leads, lags, differences, rolling, acceleration and city columns.
+
+    The filled panel is written once and read twice: for the small table of hours, and by entity, with one exchange.
+    """
+    filled = staged(P.impute(panel(spark, sf_dir, entity).select("entity", "hour", "pos", *M), M))
+    wide = P.with_hourly(filled, {f"_mean_{m}": (-1, 1) for m in M}, **T.city_stats(M, M, M))
+    made = T.leads(M) | T.lead_deltas(M) | T.lags(M) | T.diffs(M) | T.rolling_means(M) | T.rolling_stds(M) | T.accelerations(M) | T.city(M, M, M, M)
+    return wide.select("entity", "hour", *M, *[c.alias(n) for n, c in made.items()])
+
+
+def _flagship_sql() -> dict[str, str]:
+    out = {m: m for m in M} | {f"C0_lead{k}_{m}": f"lead({m}, {k}) OVER w" for m in M for k in (1, 2, 3)} | {f"C0_delta1_{m}": f"lead({m}) OVER w - {m}" for m in M}
+    out |= {f"C_lag{k}_{m}": f"lag({m}, {k}) OVER w" for m in M for k in T.LAGS} | {f"C_diff{k}_{m}": f"{m} - lag({m}, {k}) OVER w" for m in M for k in T.DIFFS}
+    out |= {f"C_rmean{w}_{m}": frame_sql("avg", m, w) for m in M for w in T.MEANS} | {f"C_rstd{w}_{m}": frame_sql("stddev_samp", m, w) for m in M for w in T.STDS}
+    for m in M:
+        out |= {f"G_delta2_{m}": f"lead({m}, 2) OVER w - {m}", f"G_delta3_{m}": f"lead({m}, 3) OVER w - {m}", f"G_accel_{m}": f"lead({m}, 2) OVER w - 2 * lead({m}) OVER w + {m}"}
+        out |= {f"D_city_{k}_{m}": f"{k}_{m}" for k in ("mean", "med", "std", "max")} | {f"D_anom_{m}": f"{m} - mean_{m}", f"D_city_range_{m}": f"max_{m} - min_{m}"}
+        out |= {f"D_city_lead1_{m}": f"lead(mean_{m}) OVER w", f"D_city_lag1_{m}": f"lag(mean_{m}) OVER w", f"D_city_diff1_{m}": f"lead(mean_{m}) OVER w - mean_{m}"}
+    return out
+
+
+_STATS = ", ".join(f"{f}({m}) AS {n}_{m}" for m in M for f, n in (("avg", "mean"), ("median", "med"), ("stddev_samp", "std"), ("max", "max"), ("min", "min")))
+_WIDE = f"{{0}}, city AS (SELECT hour, {_STATS} FROM imputed GROUP BY hour), wide AS (SELECT * FROM imputed JOIN city USING (hour))"
+for _name, _entity, _base in (("flagship_panel", "user_id", USER_SQL), ("flagship_types", "event_type", TYPE_SQL)):
+    _run = partial(flagship, entity=_entity)
+    _run.__name__ = _name
+    register(over(_flagship_sql(), "wide", _WIDE.format(imputed_sql(_base, M))), " ".join(_flagship_sql()))(_run)
