@@ -1,12 +1,14 @@
 """WARC archives: a normaliser for files that are one monolithic gzip stream.
 
-``normalise`` inflates each such file once to list its records, decides which of them repeat an
-earlier payload, then inflates it again in a stream and rewrites every record as a gzip member of
-its own, with a sidecar index of member offsets, so that readers can fetch any record alone. Of
-responses with equal payloads the one with the smallest page id stays a response; the others become
-revisits that refer to it (identical-payload-digest profile): their headers change where a revisit's must, their
-HTTP head stays and still tells the payload's length. All other records, of whatever type, are
-copied byte by byte. Payloads never pass a shuffle: only slim rows (file, ordinal, ids, digest) do.
+``normalise`` inflates each such file once: as the stream goes by, every record is written as a gzip member of
+its own to a staging archive, and a slim row tells its place, ids and digest. Then it is decided which responses
+repeat an earlier payload, and the members are copied by offset into the final archive, with a sidecar index, so that
+readers can fetch any record alone. Of responses with equal payloads the one with the smallest page id stays a
+response; the others become revisits that refer to it (identical-payload-digest profile): their headers change where a
+revisit's must, their HTTP head stays and still tells the payload's length. Only those members are inflated again, to be
+written anew. All other records, of whatever type, are copied byte by byte. Payloads never pass a shuffle: only slim
+rows do, dealt by file and stretch of ``STRETCH`` records, so a large file is rewritten by several tasks, each making an
+archive of its own.
 
 A task holds one record and a buffer at a time. Files have names of their own for each attempt and
 are known only through the rows that a finished task returned, so lost executors leave at most
@@ -14,7 +16,7 @@ files that nobody reads; the folder is deleted with the session.
 
 Defined results: a null html is an empty payload; a null url has no target; pages with equal ids
 or ties are ordered by where they were first written; a page without id comes after those with
-one; an empty table gives no archives; other columns are ignored.
+one; a file without records gives no archive; an empty table gives no archives; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm import files
-from hourloom.llm.common import delete, materialize, shared_dir, ship, table
+from hourloom.llm.common import delete, frugal, materialize, shared_dir, ship, shuffle_partitions, table
 
 #: A monolithic file is closed after so many inflated bytes or records.
 FILE_BYTES, FILE_RECORDS = 256 << 20, 50_000
+#: Consecutive records of one file that one archive holds.
+STRETCH = 4096
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAME = "urn:hourloom:page:"
@@ -157,6 +161,7 @@ def write_monolithic(pages: DataFrame, at: str) -> DataFrame:
     ship(pages.sparkSession)
     folder = f"{at}/monolithic"
 
+    @frugal
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
         for batch in batches:
@@ -187,24 +192,45 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(1, rows.count()))
 
 
-def listed(given: DataFrame) -> DataFrame:
-    """file, ordinal, page_id, payload_bytes, payload_digest, name, target and date of every response of the files.
+#: What is known of a record: where its member is staged, and what decides on revisits. ``target`` and ``date`` may be null; digest of responses only.
+PLACES = pa.schema([
+    ("file", pa.string()), ("staged", pa.string()), ("ordinal", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("told", pa.string()),
+    ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("name", pa.string()), ("target", pa.string()), ("date", pa.string()),
+])
+_PLACES = "file string, staged string, ordinal long, offset long, length long, kind string, page_id long, told string, payload_bytes long, payload_digest string, name string, target string, date string"
 
-    page_id, target and date may be null; digest and name are null in a row for each file that keeps it listed.
-    """
-    schema = pa.schema([("file", pa.string()), ("ordinal", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("name", pa.string()), ("target", pa.string()), ("date", pa.string())])
 
+def packed(head: bytes, block: bytes) -> bytes:
+    """A record as a gzip member."""
+    z = zlib.compressobj(6, zlib.DEFLATED, GZIP)
+    return z.compress(head + b"\r\n\r\n") + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
+
+
+def split(given: DataFrame, at: str) -> DataFrame:
+    """Inflate each file once; write every record as a member to a staging archive; rows as ``PLACES``."""
+
+    @frugal
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.column("file").to_pylist():
-                found: list[tuple] = [(file, -1, None, 0, None, None, None, None)]
-                for n, (headers, block) in enumerate(records(inflate(files.chunks(file)))):
-                    if is_response(headers, block):
-                        payload, _ = payload_of(block)
-                        found.append((file, n, page_of(headers["warc-record-id"]), len(payload), digest(payload), headers["warc-record-id"], headers.get("warc-target-uri"), headers.get("warc-date")))
-                yield _batch(found, schema)
-
-    return spread(given).mapInArrow(scan, "file string, ordinal long, page_id long, payload_bytes long, payload_digest string, name string, target string, date string")
+                uri, offset, found = f"{at}/staging/{uuid.uuid4().hex}.warc.gz", 0, []
+                with files.create(uri) as out:
+                    for n, (head, block) in enumerate(raw_records(inflate(files.chunks(file)))):
+                        headers, member = headers_of(head), packed(head, block)
+                        out.write(member)
+                        name = headers["warc-record-id"]
+                        row = (file, uri, n, offset, len(member), headers.get("warc-type", ""), page_of(name), headers.get("warc-payload-digest", "").removeprefix("sha1:"))
+                        if is_response(headers, block):
+                            payload, _ = payload_of(block)
+                            row += (len(payload), digest(payload), name, headers.get("warc-target-uri"), headers.get("warc-date"))
+                        found.append((*row, *[None] * (len(PLACES) - len(row))))
+                        offset += len(member)
+                        if len(found) >= 10_000:
+                            yield _batch(found, PLACES)
+                            found = []
+                yield _batch(found, PLACES)
+
+    return spread(given).mapInArrow(scan, _PLACES)
 
 
 def decisions(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -214,37 +240,51 @@ def decisions(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
     firsts = firsts.filter("n > 1").drop("n")
     own = (F.col("first.file") == F.col("file")) & (F.col("first.ordinal") == F.col("ordinal"))
     out = rows.join(firsts, ["payload_digest", "payload_bytes"], "left").withColumn("revisit", F.coalesce(~own, F.lit(False)))
-    return out.select("file", "ordinal", "revisit", *[F.when(F.col("revisit"), F.col(f"first.{c}")).alias(c) for c in ("name", "target", "date")])
+    kept = ("file", "staged", "ordinal", "offset", "length", "kind", "page_id", "revisit")
+    sha1 = F.coalesce("payload_digest", "told").alias("sha1")
+    return out.select(*kept, sha1, *[F.when(F.col("revisit"), F.col(f"first.{c}")).alias(f"first_{c}") for c in ("name", "target", "date")])
 
 
 def normalise(given: DataFrame, at: str, least_bytes: int = 0) -> DataFrame:
     """Rewrite monolithic files (column file) record by record; rows (archive, index, records)."""
-    ship(given.sparkSession)
-    folder = f"{at}/archives"
-    decided = decisions(materialize(listed(given), f"{at}/listed"), least_bytes)
-
-    def rewrite(rows: pa.Table) -> pa.Table:
-        source = rows.column("file")[0].as_py()
-        again = rows.filter(rows.column("revisit"))
-        revisits = dict(zip(again.column("ordinal").to_pylist(), zip(*(again.column(c).to_pylist() for c in ("name", "target", "date")), strict=True), strict=True))
-        name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-        offset = n = 0
-        with files.create(name) as out, files.create(f"{name}.idx") as index:
-            for head, block in raw_records(inflate(files.chunks(source))):
-                headers = headers_of(head)
-                kind, page_id = headers.get("warc-type", ""), page_of(headers["warc-record-id"])
-                sha1 = digest(payload_of(block)[0]) if is_response(headers, block) else headers.get("warc-payload-digest", "").removeprefix("sha1:")
-                if n in revisits:
-                    kind, (head, block) = "revisit", as_revisit(head, block, sha1, *revisits[n])
-                z = zlib.compressobj(6, zlib.DEFLATED, GZIP)
-                member = z.compress(head + b"\r\n\r\n") + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
+    spark = given.sparkSession
+    ship(spark)
+    rows = materialize(split(given, at), f"{at}/listed")
+    decided = decisions(rows, least_bytes).withColumn("stretch", F.floor(F.col("ordinal") / STRETCH))
+    # As many partitions as are named, whatever the slim rows weigh: the members behind them are what takes time.
+    dealt = decided.repartition(shuffle_partitions(spark), "file", "stretch").sortWithinPartitions("file", "stretch", "ordinal")
+
+    @frugal
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = source = out = index = None
+
+        def told() -> pa.RecordBatch:
+            for f in (out, index, source):
+                f.close()
+            return pa.RecordBatch.from_pydict({"archive": [name], "index": [f"{name}.idx"], "records": pa.array([n], pa.int64())})
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["file"], r["stretch"]) != last:
+                    if last:
+                        yield told()
+                    last, name, end, n = (r["file"], r["stretch"]), f"{at}/archives/{uuid.uuid4().hex}.warc.gz", 0, 0
+                    source, out, index = files.seekable(r["staged"]), files.create(name), files.create(f"{name}.idx")
+                source.seek(r["offset"])
+                member, kind = source.read(r["length"]), r["kind"]
+                if r["revisit"]:
+                    ((head, block),) = raw_records([zlib.decompress(member, GZIP)])
+                    kind, member = "revisit", packed(*as_revisit(head, block, r["sha1"], r["first_name"], r["first_target"], r["first_date"]))
                 out.write(member)
-                index.write(f"{offset}\t{len(member)}\t{kind}\t{'' if page_id is None else page_id}\t{sha1}\n".encode())
-                offset, n = offset + len(member), n + 1
-        return pa.table({"archive": [name], "index": [f"{name}.idx"], "records": pa.array([n], pa.int64())})
+                page_id = r["page_id"]
+                index.write(f"{end}\t{len(member)}\t{kind}\t{'' if page_id is None else page_id}\t{r['sha1']}\n".encode())
+                end, n = end + len(member), n + 1
+        if last:
+            yield told()
 
-    rewritten = decided.groupBy("file").applyInArrow(rewrite, "archive string, index string, records long")
-    return materialize(rewritten, f"{at}/archive-files")
+    written = materialize(dealt.mapInArrow(rewrite, "archive string, index string, records long"), f"{at}/archive-files")
+    delete(spark, f"{at}/staging")  # the archives' list is written: nothing reads these again
+    return written
 
 
 def members(archive: str, index: str) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -269,6 +309,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     ship(archives.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
+    @frugal
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, index in zip(batch.column("archive").to_pylist(), batch.column("index").to_pylist(), strict=True):

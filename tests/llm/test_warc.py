@@ -100,6 +100,18 @@ def test_foreign_records_stay_as_they_are(spark, tmp_path):
     assert sorted(kinds) == sorted(["warcinfo", *(p[2].decode() for p in places)])
 
 
+def test_each_file_is_inflated_once_and_rewritten_in_stretches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "STRETCH", 3)
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1)
+    at = f"file://{tmp_path}"
+    mono = warc.write_monolithic(pages, at)
+    archives = warc.normalise(mono, at)
+    assert sorted(r.records for r in archives.collect()) == [3, 3, 3]
+    warc.delete(spark, f"{at}/monolithic")
+    assert told(warc.read_archives(archives).collect()) == brute(PAGES)
+    assert not (tmp_path / "staging").exists()
+
+
 def test_records_across_chunk_borders():
     raw = b"".join(warc.record("response", i, "u", b"\r\n" * i, "S", 2 * i) for i in range(20))
     packed = zlib.compress(raw, wbits=warc.GZIP)
