@@ -2,9 +2,10 @@ r"""Reply trees to formatted conversations.
 
 Every message names its parent. Paths from root to leaf are enumerated by iterative self-joins of
 slim rows (ids, no texts): each round joins the pointers with themselves, so that a
-pointer spans twice as many replies, and a path of n messages takes about log2(n) rounds. Branches
-(one for each leaf) are ranked in their tree by the mean score of their messages, and each chosen
-path is formatted as one conversation. Only DataFrame functions are used.
+pointer spans twice as many replies, and a path of n messages takes about log2(n) rounds. Pointers carry the
+sum and number of the scores they pass, so branches (one for each leaf) are ranked in their tree by the
+mean score of their messages before any path is listed: only chosen paths are, and each is formatted as one
+conversation. Only DataFrame functions are used.
 
 Template: each turn is ``<|im_start|>role\ntext<|im_end|>\n``. Inside texts, control strings (its
 own and those of other common templates) get a backslash after their first character, in addition
@@ -55,35 +56,63 @@ def chains(turns: DataFrame) -> DataFrame:
     return node.select(F.col("conv_id").alias("tree_id"), "node_id", parent.alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def _meets(a: str, b: str) -> Column:
+    """Rows of one tree (``t`` beside tree_id, which may be null) whose columns ``a`` and ``b`` are one node."""
+    return F.col("tree_id").eqNullSafe(F.col("t")) & (F.col(a) == F.col(b))
+
+
 def pointers(messages: DataFrame, at: str) -> tuple[list[DataFrame], DataFrame]:
-    """Tables (tree_id, node_id, up), the ancestor 2**i replies up; and the rows that never end.
+    """Tables (tree_id, node_id, up, total): the ancestor 2**i replies up, and the scores of the node and those between; and the
+    rows that never end.
 
     Pointers longer than the number of messages only remain where replies run into a cycle.
     """
-    slim = messages.select("tree_id", "node_id", "parent_id")
+    slim = messages.select("tree_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("total"))
     ids = slim.select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"))
-    level = slim.join(ids, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("parent_id") == F.col("p")))
-    level = materialize(level.select("tree_id", "node_id", F.col("p").alias("up")), f"{at}/up0")
+    level = slim.join(ids, _meets("parent_id", "p"))
+    level = materialize(level.select("tree_id", "node_id", F.col("p").alias("up"), "total"), f"{at}/up0")
     most, found = messages.count(), []
     while not level.isEmpty() and 2 ** len(found) <= most:
         found.append(level)
-        over = level.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("up").alias("far"))
-        doubled = level.join(over, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
-        level = materialize(doubled.select("tree_id", "node_id", F.col("far").alias("up")), f"{at}/up{len(found)}")
+        over = level.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("up").alias("far"), F.col("total").alias("more"))
+        doubled = level.join(over, _meets("up", "n"))
+        level = materialize(doubled.select("tree_id", "node_id", F.col("far").alias("up"), (F.col("total") + F.col("more")).alias("total")), f"{at}/up{len(found)}")
     return found, level.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"))
 
 
-def paths(messages: DataFrame, at: str) -> DataFrame:
-    """tree_id, leaf_id, node_id, height (replies between node and leaf) of every branch."""
-    ups, endless = pointers(messages, at)
+def leaves_of(messages: DataFrame, endless: DataFrame) -> DataFrame:
+    """tree_id, leaf_id of every message without a reply, on no cycle."""
     parents = messages.select(F.col("tree_id").alias("t"), F.col("parent_id").alias("p")).filter("p is not null").distinct()
-    own = messages.select("tree_id", "node_id")
-    leaves = own.join(parents, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("p")), "left_anti")
-    leaves = leaves.join(endless, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n")), "left_anti")
-    found = leaves.select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).cast("long").alias("height"))
+    leaves = messages.select("tree_id", "node_id").join(parents, _meets("node_id", "p"), "left_anti")
+    return leaves.join(endless, _meets("node_id", "n"), "left_anti").select("tree_id", F.col("node_id").alias("leaf_id"))
+
+
+def ranked(messages: DataFrame, ups: list[DataFrame], leaves: DataFrame, at: str) -> DataFrame:
+    """tree_id, leaf_id, score (mean of the branch), length, rank: one row for each leaf, which climbs by the longest pointer that it has.
+
+    A leaf's way to its root is the binary number of its replies: each table of pointers is taken at most once.
+    """
+    climbing = leaves.select("tree_id", "leaf_id", F.col("leaf_id").alias("node_id"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("replies"))
+    for i in reversed(range(len(ups))):
+        up = ups[i].select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "up", "total")
+        higher = climbing.join(up, _meets("node_id", "n"), "left")
+        climbing = higher.select(
+            "tree_id", "leaf_id", F.coalesce("up", "node_id").alias("node_id"), (F.col("sum") + F.coalesce("total", F.lit(0.0))).alias("sum"),
+            (F.col("replies") + F.when(F.col("up").isNotNull(), 2**i).otherwise(0)).alias("replies"),
+        )
+    roots = messages.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.coalesce("score", F.lit(0.0)).alias("own"))
+    length = F.col("replies") + 1
+    done = climbing.join(roots, _meets("node_id", "n")).select("tree_id", "leaf_id", ((F.col("sum") + F.col("own")) / length).alias("score"), length.alias("length"))
+    by_score = Window.partitionBy("tree_id").orderBy(F.desc("score"), F.desc("length"), "leaf_id")
+    return materialize(done.withColumn("rank", F.row_number().over(by_score)), f"{at}/ranked")
+
+
+def paths(ups: list[DataFrame], leaves: DataFrame, at: str) -> DataFrame:
+    """tree_id, leaf_id, node_id, height (replies between node and leaf) of the branches of these leaves."""
+    found = leaves.select("tree_id", "leaf_id", F.col("leaf_id").alias("node_id"), F.lit(0).cast("long").alias("height"))
     for i in reversed(range(len(ups))):
         up = ups[i].select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "up")
-        higher = found.join(up, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n")))
+        higher = found.join(up, _meets("node_id", "n"))
         higher = higher.select("tree_id", "leaf_id", F.col("up").alias("node_id"), (F.col("height") + 2**i).alias("height"))
         found = materialize(found.unionByName(higher), f"{at}/path{i}")
     return found
@@ -92,8 +121,9 @@ def paths(messages: DataFrame, at: str) -> DataFrame:
 def orphans(messages: DataFrame) -> DataFrame:
     """tree_id, node_id of messages on no branch: their replies run into a cycle."""
     at = shared_dir(messages.sparkSession)
-    on = paths(messages, at).select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"))
-    return messages.select("tree_id", "node_id").join(on, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n")), "left_anti")
+    messages = materialize(messages.select("tree_id", "node_id", "parent_id", "score"), f"{at}/messages")
+    _, endless = pointers(messages, at)
+    return messages.select("tree_id", "node_id").join(endless, _meets("node_id", "n"), "left_semi")
 
 
 def conversations(messages: DataFrame, best: int | None = None) -> DataFrame:
@@ -104,21 +134,19 @@ def conversations(messages: DataFrame, best: int | None = None) -> DataFrame:
     """
     at = shared_dir(messages.sparkSession)
     messages = materialize(messages.select("tree_id", "node_id", "parent_id", "role", "text", "score"), f"{at}/messages")
-    found = paths(messages, at)
-    scores = messages.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    same = F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n"))
-    branches = found.join(scores, same).groupBy("tree_id", "leaf_id").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("length"))
-    by_score = Window.partitionBy("tree_id").orderBy(F.desc("score"), F.desc("length"), "leaf_id")
-    branches = branches.withColumn("rank", F.row_number().over(by_score))
+    ups, endless = pointers(messages, at)
+    branches = ranked(messages, ups, leaves_of(messages, endless), at)
     if best is not None:
         branches = branches.filter(F.col("rank") <= best)
-    chosen = found.join(branches.select(F.col("tree_id").alias("t"), F.col("leaf_id").alias("l"), "rank", "score"), F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("leaf_id") == F.col("l"))).drop("t", "l")
+    found = paths(ups, branches, at)
     texts = messages.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "role", "text")
     turn = F.struct(
         (-F.col("height")).alias("at"), F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"),
         escape(F.col("text")).alias("text"), (F.col("role") == LOSS_ROLE).alias("loss"),
     )
-    rows = chosen.join(texts, same).groupBy("tree_id", "leaf_id", "rank", "score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    rows = found.join(texts, _meets("node_id", "n")).groupBy("tree_id", "leaf_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    told = branches.select(F.col("tree_id").alias("t"), F.col("leaf_id").alias("n"), "rank", "score")
+    rows = rows.join(told, _meets("leaf_id", "n"))
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["text"], F.lit(END))), "")
 
     def measure(state: Column, t: Column) -> Column:

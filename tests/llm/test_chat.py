@@ -65,6 +65,19 @@ def test_trees_branches_ranks_and_cycles(spark):
     assert {r.node_id for r in chat.orphans(messages).collect()} == {10, 11, 12}
 
 
+def test_only_chosen_branches_are_listed(spark, monkeypatch):
+    """A chain with a leaf on each message: its branches hold quadratically many rows."""
+    n, listed = 300, []
+    rows = [("t", i, i - 1 if i else None, "user", f"m{i}", 0.0) for i in range(n)] + [("t", 1000 + i, i, "assistant", "leaf", float(i == 40)) for i in range(n)]
+    messages = spark.createDataFrame(rows, "tree_id string, node_id long, parent_id long, role string, text string, score double")
+    keep = chat.materialize
+    monkeypatch.setattr(chat, "materialize", lambda df, at: (lambda out: (listed.append(out.count()), out)[1])(keep(df, at)))
+    got = chat.conversations(messages, best=1).collect()
+    want = max(range(n), key=lambda i: ((i == 40) / (i + 2), i + 2))
+    assert [(r.leaf_id, r.rank) for r in got] == [(1000 + want, 1)] and got[0].score == pytest.approx(1 / 42)
+    assert max(listed) <= 2 * n
+
+
 def test_oracle_agrees(spark):
     at = "/root/testdata/sf0.001"
     duck = duckdb.connect()
