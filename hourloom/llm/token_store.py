@@ -9,9 +9,10 @@ only the frames that hold the documents it wants, and checks each.
 
 Documents are dealt by ranges of doc_id and sorted inside, so the files, in order, hold all of them
 in ascending order. A task holds one frame, an index of its file's documents and a bounded cache
-of words; files close after so many ids. Words are separated by spaces and line breaks, which the
-tokenizer drops and no token spans, so the library is asked once for each distinct word of a
-worker's cache, not for each occurrence.
+of words; files close after so many ids or documents. Where the vocabulary's own description says that it lower-cases,
+drops white space and parts words at it (``by_words``), the library is asked once for each distinct word of a
+worker's cache, not for each occurrence; with any other vocabulary it gets whole texts. Of every ``CHECKED``
+documents one is encoded by the library as a whole too, and a difference stops the job.
 
 Defined results: a null or empty text has the end id alone; rows without an id come first; repeated
 rows and ties are kept, ordered by their texts' hash; an empty table gives no files; other columns
@@ -21,6 +22,7 @@ are ignored.
 from __future__ import annotations
 
 import array
+import json
 import re
 import struct
 import uuid
@@ -36,13 +38,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourloom.llm import files
-from hourloom.llm.common import materialize, shared_dir, ship, shuffle_partitions, table
+from hourloom.llm.common import frugal, materialize, shared_dir, ship, shuffle_partitions, table
 from hourloom.llm.warc import spread
 
 #: Fixed values of the public formats: skippable frames, their kinds used here, the seek table's end.
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, TABLE_END = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: Plain bytes of a frame; ids of a file; words that a task remembers.
 FRAME_BYTES, FILE_IDS, CACHED_WORDS = 1 << 20, 1 << 28, 200_000
+#: Documents of a file; documents of which one is checked as a whole.
+FILE_DOCS, CHECKED = 1 << 20, 256
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 ENTRY, FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
 #: Letters, then marks that neither the splitter's apostrophe rules nor special tokens concern.
@@ -66,6 +70,25 @@ def tokenizer(path: str | None):
     return _loaded[path]
 
 
+def by_words(description: dict) -> bool:
+    """Whether a tokenizer's description is of the kind whose words can be encoded one by one.
+
+    It lower-cases and makes white space runs one space; its splitter drops them (all that its pattern doesn't
+    match) and no match holds one; words end with a mark of their own; nothing else adds to or joins them.
+    """
+    normalizer, pre, model = (description.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = normalizer.get("normalizers", [normalizer]) if normalizer else []
+    kinds = [x.get("type") for x in steps]
+    spaces = [x for x in steps if x.get("type") == "Replace"]
+    parts = pre.get("pretokenizers", [pre]) if pre else []
+    cuts = [x for x in parts if x.get("type") == "Split"]
+    return (
+        set(kinds) <= {"NFC", "Replace", "Lowercase"} and kinds[-1:] == ["Lowercase"] and [(x.get("pattern"), x.get("content")) for x in spaces] == [({"Regex": "\\s+"}, " ")]
+        and [x.get("type") for x in parts] == ["Split", "ByteLevel"] and [(x.get("invert"), x.get("behavior")) for x in cuts] == [(True, "Removed")]
+        and not parts[1].get("add_prefix_space") and model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not model.get("byte_fallback")
+    )
+
+
 class Encoder:
     """Packed ids of whole texts; remembers words.
 
@@ -80,9 +103,23 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.words, self.letters = Words(self._ids), {}
+        self.words, self.letters, self.seen = Words(self._ids), {}, 0
+        self.by_words = by_words(json.loads(self.library.to_str()))
 
     def encode(self, text: str) -> bytes:
+        """Ids of a text and the end id."""
+        if not self.by_words:
+            return self._library(text) + self.end
+        found = self._by_words(text)
+        self.seen += 1
+        if self.seen % CHECKED == 1 and found[: -len(self.end)] != self._library(text):
+            raise ValueError("ids of a text's words differ from the library's ids of the text")
+        return found
+
+    def _library(self, text: str) -> bytes:
+        return array.array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _by_words(self, text: str) -> bytes:
         for known in (self.words, self.letters):
             if len(known) > CACHED_WORDS:
                 known.clear()
@@ -109,7 +146,7 @@ class Encoder:
 
     def _whole(self, word: str) -> bytes:
         if (ids := self.letters.get(word)) is None:
-            ids = array.array(self.code, self.library.encode(word, add_special_tokens=False).ids).tobytes()
+            ids = self._library(word)
             if len(word) < 8:  # marks come again
                 self.letters[word] = ids
         return ids
@@ -225,6 +262,7 @@ def write(docs: DataFrame, at: str, path: str | None = None, end_id: int = END_I
     tie = F.xxhash64("text")
     dealt = given.repartitionByRange(shuffle_partitions(spark), "doc_id", tie).sortWithinPartitions("doc_id", tie)
 
+    @frugal
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path, end_id) not in _loaded:
             _loaded[path, end_id] = Encoder(path, end_id)
@@ -240,7 +278,7 @@ def write(docs: DataFrame, at: str, path: str | None = None, end_id: int = END_I
                 for doc_id, text in zip(few.column("doc_id").to_pylist(), few.column("text").to_pylist(), strict=True):
                     out = out or Writer(f"{at}/{uuid.uuid4().hex}.zst", encoder.kind.itemsize)
                     out.add(doc_id, encoder.encode(text))
-                    if out.ids >= FILE_IDS:
+                    if out.ids >= FILE_IDS or len(out.docs) >= FILE_DOCS:
                         yield told()
                         out, number = None, number + 1
         if out:
@@ -255,6 +293,7 @@ def read(written: DataFrame) -> DataFrame:
     earlier = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # rows: one for each file
     placed = written.withColumn("before", F.coalesce(F.sum("ids").over(earlier), F.lit(0))).select("file", "before")
 
+    @frugal
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, before in zip(batch.column("file").to_pylist(), batch.column("before").to_pylist(), strict=True):

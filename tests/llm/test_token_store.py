@@ -44,6 +44,32 @@ def test_synthetic_documents_against_the_library(spark, library):
     assert got == brute(library, [(d.doc_id, d.text) for d in docs])
 
 
+def test_another_vocabulary_against_its_library(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in token_store.query(spark, str(tmp_path), path).collect())
+    assert got == brute(own, rows)
+
+
+def test_words_are_only_parted_where_the_description_says_so(library):
+    import json
+
+    told = json.loads(library.to_str())
+    assert token_store.by_words(told)
+    assert not token_store.by_words(json.loads(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).to_str()))
+    assert not token_store.by_words(told | {"normalizer": None}) and not token_store.by_words(told | {"pre_tokenizer": None})
+
+
+def test_files_close_by_documents_too(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "FILE_DOCS", 10)
+    docs = spark.createDataFrame([(i, None) for i in range(95)], "doc_id long, text string").coalesce(1)
+    written = token_store.write(docs, f"file://{tmp_path}/at")
+    assert max(r.docs for r in written.collect()) == 10
+    assert sorted((r.doc_id, r.start) for r in token_store.read(written).collect()) == [(i, i) for i in range(95)]
+
+
 def test_repeated_rows_and_missing_ids(spark, tmp_path):
     rows = [(1, "a b"), (1, "a b"), (None, "c"), (0, "d")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
