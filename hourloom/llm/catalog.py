@@ -21,5 +21,7 @@ QUERIES = {
 #: tests hold them against brute force instead.
 ORACLES: dict[str, str] = {
     "op4_chat": chat.ORACLE,
+    "op7_decontamination": decontamination.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op10_minhash": minhash.ORACLE,
 }

@@ -6,7 +6,9 @@ by it, and inside a bucket of several rows the canonical bytes themselves decide
 collision splits into numbered variants. Only DataFrame functions are used.
 
 Defined results: a null text counts as empty; equal texts, repeated rows and ties share a
-fingerprint; an empty table gives an empty result; columns other than doc_id and text are ignored.
+fingerprint; rows that share a doc_id all stay, next to one another in order of their texts' hashes; rows without an id
+stay too, after all others (group_id: null where no row with an id has the same text); an empty table gives an empty
+result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -72,8 +74,8 @@ def exact_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     in_bucket = Window.partitionBy("h1", "h2").orderBy("canon")
     by_bytes = materialize(by_bytes.withColumn("variant", F.row_number().over(in_bucket) - 1), f"{at}/groups")
     collided = by_bytes.filter("variant > 0").select("h1", "h2").distinct()
-    plain = by_bytes.join(F.broadcast(collided), ["h1", "h2"], "left_anti").drop("canon")
-    clashing = by_bytes.join(F.broadcast(collided), ["h1", "h2"], "left_semi")
+    plain = by_bytes.join(collided, ["h1", "h2"], "left_anti").drop("canon")
+    clashing = by_bytes.join(collided, ["h1", "h2"], "left_semi")
     clashes = rows.join(clashing, ["h1", "h2", "canon"]).drop("canon") if not clashing.isEmpty() else None
     return plain, clashes
 

@@ -59,6 +59,16 @@ def test_query_against_brute_force(spark, tmp_path, block, monkeypatch):
     assert sorted(got) == brute(docs, items)
 
 
+def test_oracle_agrees(spark):
+    import duckdb
+
+    at = "/root/testdata/sf0.01"
+    duck = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        duck.execute(f"create view {name} as select * from '{at}/{name}.parquet'")
+    assert sorted(map(tuple, decontamination.query(spark, at).collect())) == sorted(duck.execute(decontamination.ORACLE).fetchall())
+
+
 @pytest.mark.parametrize("side", ["documents", "benchmark"])
 def test_empty_tables(spark, tmp_path, side):
     for name, key in (("documents", "doc_id"), ("benchmark", "item_id")):

@@ -43,6 +43,17 @@ def test_query_against_brute_force(spark, tmp_path, buckets, monkeypatch):
             assert (got[a].fingerprint == got[b].fingerprint) == (want[a][4] == want[b][4]), (a, b)
 
 
+def test_repeated_and_missing_ids(spark, tmp_path):
+    rows = [(1, "one text"), (2, "two"), (2, "TWO "), (2, "two"), (None, "two"), (None, "own"), (None, None), (3, "é" * 30_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = fingerprints.query(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == sorted((i or 0, len(t or "")) for i, t in rows)
+    by = {}
+    for r in got:
+        by.setdefault((r.fingerprint, r.group_id, r.n_copies), []).append(r.doc_id)
+    assert sorted((len(v), k[1] or 0, k[2]) for k, v in by.items()) == [(1, 0, 1), (1, 0, 1), (1, 1, 1), (1, 3, 1), (4, 2, 4)]
+
+
 def test_colliding_buckets_split_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "wide_hash", lambda c: F.struct((F.length(c) * 0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2")))
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A "), (4, "c"), (5, None)], "doc_id long, text string")

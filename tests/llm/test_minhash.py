@@ -85,6 +85,16 @@ def test_the_largest_id_stays_apart_from_missing_ids(spark):
     assert got == {3: 3, 4: 4, top: 3, None: 4, top - 1: top - 1, top - 3: top - 3}
 
 
+def test_oracle_agrees(spark):
+    import duckdb
+
+    at = "/root/testdata/sf0.01"
+    duck = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        duck.execute(f"create view {name} as select * from '{at}/{name}.parquet'")
+    assert sorted(map(tuple, minhash.query(spark, at).collect())) == sorted(duck.execute(minhash.ORACLE).fetchall())
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert minhash.query(spark, str(tmp_path)).count() == 0
