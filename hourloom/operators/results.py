@@ -85,7 +85,7 @@ def log_row(spark: SparkSession, values: dict) -> DataFrame:
     """One row of the log; dicts become JSON, lists names joined by +, and what isn't told is empty."""
     said = {k: json.dumps(v) if isinstance(v, dict) else "+".join(v) if isinstance(v, (list, tuple)) else v for k, v in values.items()}
     date = F.lit(str(said["date"])) if said.get("date") else stamp()
-    return spark.range(1).select(*[date.alias(c) if c == "date" else F.lit(None if said.get(c) is None else str(said[c])).alias(c) for c in LOG_COLUMNS])
+    return spark.range(1).select(*[date.alias(c) if c == "date" else F.lit(None if said.get(c) is None else str(said[c])).cast("string").alias(c) for c in LOG_COLUMNS])
 
 
 def append_log(spark: SparkSession, path: str, values: dict) -> None:

@@ -317,13 +317,13 @@ def paired_block_sums(spark, sf_dir):
 
 
 #: Draws by the same remainders of squares as the operator's.
-_X = "(d.draw * 48271 + place * 69621 + 42) % 2147483647"
-for _more in ("place", "d.draw", "42", "place"):
-    _X = f"list_transform([{_X}], lambda x: (x * x + {_more}) % 2147483647)[1]"
+_MIXED = "x0 AS (SELECT draw, place, b, (draw * 48271 + place * 69621 + 42) % 2147483647 AS x FROM range(2000) AS d(draw), places)"
+for _i, _more in enumerate(("place", "draw", "42", "place")):
+    _MIXED += f", x{_i + 1} AS (SELECT draw, place, b, (x * x + {_more}) % 2147483647 AS x FROM x{_i})"
 DRAWS = f"""{PRED}, s AS (SELECT t, y / 1000 AS y, p1 / 1000 AS p1, p2 / 1000 AS p2 FROM pred),
 blocks AS (SELECT CAST(floor(date_diff('hour', TIMESTAMP '1970-01-01', t) / 24.0) AS BIGINT) AS block, sum(pow(p1 - y, 2) - pow(p2 - y, 2)) AS total, count(*) AS n FROM s GROUP BY 1),
-numbered AS (SELECT row_number() OVER (ORDER BY block) AS at, total, n FROM blocks), places AS (SELECT at - 1 AS place, (SELECT count(*) FROM blocks) AS b FROM numbered),
-picks AS (SELECT d.draw, {_X} % b + 1 AS at FROM range(2000) AS d(draw), places), means AS (SELECT draw, sum(total) / sum(n) AS m FROM picks JOIN numbered USING (at) GROUP BY draw),
+numbered AS (SELECT row_number() OVER (ORDER BY block) AS spot, total, n FROM blocks), places AS (SELECT spot - 1 AS place, (SELECT count(*) FROM blocks) AS b FROM numbered),
+{_MIXED}, picks AS (SELECT draw, x % b + 1 AS spot FROM x4), means AS (SELECT draw, sum(total) / sum(n) AS m FROM picks JOIN numbered USING (spot) GROUP BY draw),
 told AS (SELECT avg(m) AS mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, avg(CAST(m > 0 AS DOUBLE)) AS p_worse FROM means),
 known AS (SELECT sqrt(avg(pow(y - p2, 2))) AS base, avg(pow(p1 - y, 2) - pow(p2 - y, 2)) AS delta FROM s)"""
 _SCALE = "sqrt(greatest(base * base + {0}, 0)) - base"

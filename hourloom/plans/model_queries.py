@@ -48,9 +48,9 @@ def seed_runs(spark, sf_dir):
 
 
 @register(
-    f"""WITH {_RUNS}, each AS (SELECT variant, seed, avg(rmse) AS mean, max(rmse) FILTER (fold = 'B') AS p FROM runs GROUP BY ALL), v AS (SELECT variant, avg(mean) AS mean, avg(p) AS primary, stddev_pop(p) AS sd FROM each GROUP BY variant),
-b AS (SELECT max(primary) FILTER (variant = 'p3') AS base, 2 * avg(sd) AS least FROM v)
-SELECT variant, mean, primary, sd, primary - base AS delta_vs_base, abs(primary - base) >= least AS separable, CAST(row_number() OVER (ORDER BY primary, variant) AS INTEGER) AS rank FROM v, b""",
+    f"""WITH {_RUNS}, each AS (SELECT variant, seed, avg(rmse) AS mean, max(rmse) FILTER (fold = 'B') AS p FROM runs GROUP BY ALL), v AS (SELECT variant, avg(mean) AS mean, avg(p) AS pr, stddev_pop(p) AS sd FROM each GROUP BY variant),
+b AS (SELECT max(pr) FILTER (variant = 'p3') AS base, 2 * avg(sd) AS least FROM v)
+SELECT variant, mean, pr AS "primary", sd, pr - base AS delta_vs_base, abs(pr - base) >= least AS separable, CAST(row_number() OVER (ORDER BY pr, variant) AS INTEGER) AS rank FROM v, b""",
     "mean primary sd delta_vs_base",
 )
 def ranked_variants(spark, sf_dir):
