@@ -8,7 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourloom.operators.windows import average_rank, quantiles, rank_to_value
+from hourloom.operators.windows import average_rank, average_ranks, quantiles, rank_to_value
+from hourloom.sources.staging import staged
 
 
 def squared(y: Column | str, p: Column | str) -> Column:
@@ -154,9 +155,8 @@ def blend_value(members: list[str], weights: list[float]) -> Column:
 
 def blend_rank(df: DataFrame, members: list[str], out: str = "rank", weights: list[float] | None = None) -> DataFrame:
     """Weighted mean of the members' average ranks."""
-    for m in members:
-        df = average_rank(df, m, f"_rank_{m}")
     ranks = [f"_rank_{m}" for m in members]
+    df = average_ranks(df, dict(zip(members, ranks, strict=True)))
     return df.withColumn(out, blend_value(ranks, weights or [1.0] * len(members))).drop(*ranks)
 
 
@@ -243,14 +243,15 @@ def drawn(draw: Column, place: Column, seed: int) -> Column:
 def bootstrap(blocks: DataFrame, draws: int = 2000, seed: int = 42) -> DataFrame:
     """mean, low, high and the share of draws that are worse, of means over as many blocks, drawn with replacement.
 
-    Blocks are numbered in order of time (a row for each block, not for each observation) and met by number.
+    Blocks are numbered in order of time (a row for each block, not for each observation) and met by number; their
+    table is written, so Spark sends it to all tasks only if it is small.
     """
-    numbered = blocks.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("block")).alias("at"), "total", "n")
-    size = blocks.agg(F.count(F.lit(1)).alias("_b"))
+    numbered = staged(blocks.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("block")).alias("at"), "total", "n"))
+    size = numbered.agg(F.count(F.lit(1)).alias("_b"))
     places = blocks.sparkSession.range(draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(size))  # one row
     places = places.filter("_b > 0").select("draw", "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)).alias("place"))
-    picks = places.select("draw", (drawn(F.col("draw"), F.col("place"), seed) % F.col("_b") + 1).cast("int").alias("at")).groupBy("draw", "at").agg(F.count(F.lit(1)).alias("times"))
-    means = picks.join(numbered, "at").groupBy("draw").agg((F.sum(F.col("times") * F.col("total")) / F.sum(F.col("times") * F.col("n"))).alias("m"))
+    picks = places.select("draw", (drawn(F.col("draw"), F.col("place"), seed) % F.col("_b") + 1).cast("int").alias("at"))
+    means = picks.join(numbered, "at").groupBy("draw").agg((F.sum("total") / F.sum("n")).alias("m"))
     edges = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))  # a row for each draw
     return means.agg(F.avg("m").alias("mean"), edges[0].alias("low"), edges[1].alias("high"), F.avg((F.col("m") > 0).cast("double")).alias("p_worse"))
 

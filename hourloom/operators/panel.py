@@ -88,7 +88,8 @@ def require_unique(rows: DataFrame) -> None:
 def with_hourly(panel: DataFrame, shifts: dict[str, tuple[int, ...]] | None = None, **aggs: Column) -> DataFrame:
     """Aggregates over the entities of each hour, joined back: the wide panel isn't dealt anew by hour.
 
-    ``shifts`` names hours ahead (negative: before) at which a column is wanted too, as <column>_lead<k> or
+    The table of hours is written, so Spark knows its size: it sends a small one to all tasks by its own threshold and
+    deals the panel by hour only beside a large one. ``shifts`` names hours ahead (negative: before) at which a column is wanted too, as <column>_lead<k> or
     _lag<k>: they are taken in the small table of hours, by key, without a window over it.
     """
     table = panel.groupBy("hour").agg(*[a.alias(n) for n, a in aggs.items()])
@@ -98,20 +99,20 @@ def with_hourly(panel: DataFrame, shifts: dict[str, tuple[int, ...]] | None = No
         at = lambda n, k: F.max(F.when(F.col("_k") == k, F.col(n)))
         named = [at(n, 0).alias(n) for n in aggs] + [at(n, k).alias(f"{n}_{'lead' if k > 0 else 'lag'}{abs(k)}") for n, ks in shifts.items() for k in ks]
         table = copies.groupBy(F.col("_at").alias("hour")).agg(*named)
-    return panel.join(table, "hour")
+    return panel.join(staged(table), "hour")
 
 
 def impute(panel: DataFrame, columns: list[str], limit: int = 6) -> DataFrame:
     """Interior interpolation, then the hour's median times the entity's usual ratio to it.
 
-    Infinite ratios and products (a median of 0) count as missing. The interpolated panel is written once: the hours'
-    medians, the ratios and the result all read it.
+    Infinite ratios and products (a median of 0) count as missing. The interpolated panel is written once, for the hours'
+    medians and the result; the ratios are windows over the entity, so nothing is joined for them.
     """
     finite: Callable[[Column], Column] = lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
     out = with_hourly(staged(interpolate(panel, columns, limit)), **{f"_city_{c}": F.median(c) for c in columns})
-    ratio = {c: F.median(finite(F.try_divide(F.col(c), F.col(f"_city_{c}")))).alias(f"_ratio_{c}") for c in columns}
-    out = out.join(out.groupBy("entity").agg(*ratio.values()), "entity")
-    return out.withColumns({c: F.coalesce(F.col(c), finite(F.col(f"_city_{c}") * F.col(f"_ratio_{c}"))) for c in columns}).select(panel.columns)
+    entity = Window.partitionBy("entity")
+    usual = {c: F.median(finite(F.try_divide(F.col(c), F.col(f"_city_{c}")))).over(entity) for c in columns}
+    return out.select(*[F.coalesce(F.col(c), finite(F.col(f"_city_{c}") * usual[c])).alias(c) if c in usual else F.col(c) for c in panel.columns])
 
 
 def lookup(requested: DataFrame, features: DataFrame, at: str = "hour") -> DataFrame:

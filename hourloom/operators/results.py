@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from hourloom.functions.scalar import clip
 from hourloom.operators.evaluate import result_problems
-from hourloom.operators.windows import average_rank
+from hourloom.operators.windows import average_ranks
+from hourloom.sources.staging import staged
 from hourloom.sources.tables import upsert
 
 #: The limits of a delivered value, the columns of the experiments' log and of the tracker.
@@ -28,8 +29,6 @@ def numbered(template: DataFrame, order: Iterable[str]) -> DataFrame:
     Places are counted in ranges of the order, which is one pass and one small table of the ranges' counts.
     """
     order = list(order)
-    from hourloom.sources.staging import staged
-
     placed = staged(template.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
@@ -124,7 +123,7 @@ def transfer_report(tracker: DataFrame, local: str = "local", leaderboard: str =
     n, r, offset, offset_sd, slope, intercept, spearman, drift (of the offset for each unit of local), ranking, transfer, growing.
     """
     rows = tracker.filter(F.col(local).isNotNull() & F.col(leaderboard).isNotNull()).withColumn("_offset", F.col(leaderboard) - F.col(local))
-    one = average_rank(average_rank(rows, local, "_a"), leaderboard, "_b").agg(
+    one = average_ranks(rows, {local: "_a", leaderboard: "_b"}).agg(
         F.count(F.lit(1)).alias("n"), F.corr(local, leaderboard).alias("r"), F.avg("_offset").alias("offset"), F.stddev_pop("_offset").alias("offset_sd"),
         F.regr_slope(leaderboard, local).alias("slope"), F.regr_intercept(leaderboard, local).alias("intercept"), F.corr("_a", "_b").alias("spearman"), F.regr_slope("_offset", local).alias("drift"),
     )

@@ -241,10 +241,20 @@ def columns() -> Features:
     return {n: c for build in TIERS.values() for n, c in build().items()}
 
 
-def prepared(rows: DataFrame, fill: bool = True) -> DataFrame:
+#: Columns that need the hours' aggregates.
+_BY_HOUR = ("D_", "G_city", "G_anom", "H_city", "H_ix")
+
+
+def prepared(rows: DataFrame, fill: bool = True, by_hour: bool = True) -> DataFrame:
     """A station panel (entity, hour, measures, wd) on its grid, filled, with its readings and the hours' aggregates."""
-    panel = dense(rows).withColumns({f"_raw_{m}": F.col(m) for m in MEASURES})
-    panel = staged(impute(panel, MEASURES) if fill else panel)  # read twice: by hour and by entity
+    panel, readings = dense(rows), {f"_raw_{m}": F.col(m) for m in MEASURES}
+    if fill:
+        panel = impute(panel.withColumns(readings), MEASURES)
+    if not by_hour:
+        return panel if fill else panel.withColumns(readings)
+    panel = staged(panel)  # read twice: by hour and by entity
+    if not fill:
+        panel = panel.withColumns(readings)
     stats = city_stats(CITY_FAR, POLLUTANTS, SPREAD) | {"_reporting": F.count("_raw_PM10")}
     shifts = {f"_mean_{m}": (1,) for m in CITY_FAR} | {f"_mean_{m}": (-1, 1, 2, 3) for m in CITY_AHEAD} | {f"_{k}_{m}": (1,) for k in ("max", "min") for m in SPREAD} | {"_reporting": (1,)}
     return with_hourly(panel, shifts, **stats)
@@ -252,7 +262,9 @@ def prepared(rows: DataFrame, fill: bool = True) -> DataFrame:
 
 def superset(rows: DataFrame, keep: Callable[[str], bool] = lambda _: True, fill: bool = True) -> DataFrame:
     """entity, hour and the contract's columns whose names are wanted."""
-    return prepared(rows, fill).select("entity", "hour", *[c.alias(n) for n, c in columns().items() if keep(n)])
+    made = {n: c for n, c in columns().items() if keep(n)}
+    by_hour = any(n.startswith(_BY_HOUR) for n in made)
+    return prepared(rows, fill, by_hour).select("entity", "hour", *[c.alias(n) for n, c in made.items()])
 
 
 # Selections by name

@@ -95,9 +95,17 @@ def cumulative(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
 
 def average_rank(df: DataFrame, x: str, out: str) -> DataFrame:
     """Share of the average rank among ties, 0 to 1; NULL for a missing value."""
-    counted = cumulative(df, x)
-    ranks = counted.select(F.col("value").alias("_x"), ((F.col("first") + (F.col("n") + 1) / 2) / F.col("all")).alias(out))
-    return df.join(ranks, F.col(x) == F.col("_x"), "left").drop("_x")
+    return average_ranks(df, {x: out})
+
+
+def average_ranks(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The average ranks of several columns, counted in one pass over them."""
+    pairs = F.array(*[F.struct(F.lit(x).alias("column"), F.col(x).cast("double").alias("v")) for x in names])
+    counted = staged(cumulative(df.select(F.inline(pairs)), "v", ["column"]))
+    for x, out in names.items():
+        ranks = counted.filter(F.col("column") == x).select(F.col("value").alias("_x"), ((F.col("first") + (F.col("n") + 1) / 2) / F.col("all")).alias(out))
+        df = df.join(ranks, F.col(x).cast("double") == F.col("_x"), "left").drop("_x")
+    return df
 
 
 def quantiles(df: DataFrame, x: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

@@ -350,7 +350,7 @@ def _rank_sql(m: str) -> str:
 
 @register(f"WITH {PRED} SELECT corr(a, b) AS r FROM (SELECT {_rank_sql('y')} AS a, {_rank_sql('p3')} AS b FROM pred)", "r")
 def spearman(spark, sf_dir):
-    rows = W.average_rank(W.average_rank(predictions(spark, sf_dir), "y", "a"), "p3", "b")
+    rows = W.average_ranks(predictions(spark, sf_dir), {"y": "a", "p3": "b"})
     return rows.agg(F.corr("a", "b").alias("r"))
 
 

@@ -11,6 +11,8 @@ from hourloom.operators import panel as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The queries without the rounding that only serves the comparison with SQL.
+PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 #: Entities of the dense panel; members and folds of the prediction fixture.
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -54,7 +56,7 @@ def register(sql: str | None = None, doubles: str = "") -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return build(spark, sf_dir).withColumns({c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0) for c in names})
 
-        QUERIES[build.__name__] = run if names else build
+        QUERIES[build.__name__], PLAIN[build.__name__] = run if names else build, build
         if sql:
             rounded = ", ".join(f'round("{c}"::DOUBLE, 6) + 0.0::DOUBLE AS "{c}"' for c in names)
             ORACLES[build.__name__] = f"SELECT * REPLACE ({rounded}) FROM ({sql})" if names else sql
