@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from hourloom.llm.common import frugal, ship, table
 
 VOCABULARY = "piece_bpe_32k.model"
-#: The library's mark of a space, and the segments that a task remembers.
+#: The library's mark of a space, and the segments of each of the two generations that a task remembers.
 MARK, CACHED_SEGMENTS = "▁", 150_000
 #: Segments of up to so many characters use the list agenda; the rank of a pair that is no piece.
 SHORT, NEVER = 40, float("inf")
@@ -54,10 +54,18 @@ class Segments(dict):
     def __init__(self, ids: Callable[[str], tuple[int, ...]]) -> None:
         self.ids = ids
         self.new: list[str] = []
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def age(self) -> None:
+        """Start anew; what is asked for again comes back from the generation before, the rest goes with it."""
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, segment: str) -> tuple[int, ...]:
-        found = self.ids(segment)
-        self.new.append(segment)
+        found = self.old.get(segment)
+        if found is None:
+            found = self.ids(segment)
+            self.new.append(segment)
         if len(segment) <= LONGEST:
             self[segment] = found
         return found
@@ -137,7 +145,7 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         """Ids of a text; the normaliser puts a space before any that isn't empty."""
         if len(self.known) > CACHED_SEGMENTS:
-            self.known.clear()
+            self.known.age()
         return list(itertools.chain.from_iterable(map(self.known.__getitem__, self.cut(" " + text)))) if text else []
 
     def check(self, doc_ids: list, texts: list[str], ids: list[list[int]], decoded: list[str]) -> None:
