@@ -2,8 +2,8 @@
 
 A record's slot never changes. Bytes are summed for each slot, and a versioned map deals the slots
 to shards, largest first to the shard that has least (law ``bytes``: shards get nearly equal
-bytes). Rebalancing writes a new version that moves only the slots it must; records of other slots
-stay where they are. The map has one row for each slot, so its size is fixed by ``slots``,
+bytes). Rebalancing writes a new version that moves only the slots it must, after a change of the slots' loads
+or of the number of shards (``rebalance``), or for one more shard (``grow_map``); records of other slots stay where they are. The map has one row for each slot, so its size is fixed by ``slots``,
 whatever the corpus; it is the only thing that is broadcast. Only DataFrame functions are used.
 
 Defined results: a null text has no bytes; a row without an id is placed by its text; repeated
@@ -59,8 +59,7 @@ def build_map(loads: DataFrame, shards: int, version: int = 1) -> DataFrame:
 
     empty = F.struct(F.array_repeat(F.lit(0).cast("long"), shards).alias("load"), F.array().cast("array<int>").alias("to"))
     dealt = given.select("given", F.aggregate("given", empty, deal)["to"].alias("to"))
-    rows = dealt.select(F.inline(F.arrays_zip("given", "to")))
-    return rows.select(F.lit(version).alias("version"), F.col("given.virtual_slot").alias("virtual_slot"), F.col("to").alias("shard"), (-F.col("given.less")).alias("bytes"), F.col("given.rows").alias("rows"))
+    return mapped(dealt, version)
 
 
 def grow_map(old: DataFrame, shards: int, version: int) -> DataFrame:
@@ -83,8 +82,45 @@ def grow_map(old: DataFrame, shards: int, version: int) -> DataFrame:
         return F.struct(load.alias("load"), F.concat(state["to"], F.array(to)).alias("to"))
 
     start = F.struct(F.col("loads").alias("load"), F.array().cast("array<int>").alias("to"))
-    dealt = given.select("given", F.aggregate("given", start, offer)["to"].alias("to")).select(F.inline(F.arrays_zip("given", "to")))
-    return dealt.select(F.lit(version).alias("version"), F.col("given.virtual_slot").alias("virtual_slot"), F.col("to").alias("shard"), (-F.col("given.less")).alias("bytes"), F.col("given.rows").alias("rows"))
+    dealt = given.select("given", F.aggregate("given", start, offer)["to"].alias("to"))
+    return mapped(dealt, version)
+
+
+def rebalance(old: DataFrame, loads: DataFrame, shards: int, version: int, slack: float = 0.01) -> DataFrame:
+    """The next version after the slots' loads, or the number of shards, have changed: moves only what must move.
+
+    Largest first, a slot stays where its shard holds at most ``1 + slack`` of the mean with it, or holds no
+    other yet. The rest, and slots of shards that are no more, go to the shard with least, again largest first.
+    """
+    slot = F.struct((-F.col("bytes")).alias("less"), "virtual_slot", "shard", "rows")
+    now = loads.join(old.select("virtual_slot", "shard"), "virtual_slot", "left").withColumn("shard", F.coalesce("shard", F.lit(-1)))
+    given = now.agg(F.array_sort(F.collect_list(slot)).alias("given"), (F.sum("bytes") * (1 + slack) / shards).alias("most"))
+    loads_of = F.array_repeat(F.lit(0).cast("long"), shards)
+
+    def put(load: Column, to: Column, s: Column) -> Column:
+        return F.transform(load, lambda x, i: F.when(i == to, x - s["less"]).otherwise(x))
+
+    def keep(state: Column, s: Column) -> Column:
+        held = F.when(s["shard"].between(0, shards - 1), F.get(state["load"], s["shard"]))
+        to = F.when((held == 0) | (held - s["less"] <= F.col("most")), s["shard"]).otherwise(-1)
+        return F.struct(put(state["load"], to, s).alias("load"), F.concat(state["to"], F.array(to)).alias("to"))
+
+    def deal(state: Column, s: Column) -> Column:
+        least = (F.array_position(state["load"], F.array_min(state["load"])) - 1).cast("int")
+        to = F.when(s["to"] >= 0, s["to"]).otherwise(least)
+        load = F.when(s["to"] >= 0, state["load"]).otherwise(put(state["load"], least, s["given"]))
+        return F.struct(load.alias("load"), F.concat(state["to"], F.array(to)).alias("to"))
+
+    start = lambda load: F.struct(load.alias("load"), F.array().cast("array<int>").alias("to"))
+    kept = given.select("given", F.aggregate("given", start(loads_of), keep).alias("kept"))
+    dealt = kept.select("given", F.aggregate(F.arrays_zip("given", F.col("kept.to").alias("to")), start(F.col("kept.load")), deal)["to"].alias("to"))
+    return mapped(dealt, version)
+
+
+def mapped(dealt: DataFrame, version: int) -> DataFrame:
+    """The rows of a map from its slots (``given``) and their shards (``to``)."""
+    rows = dealt.select(F.inline(F.arrays_zip("given", "to")))
+    return rows.select(F.lit(version).alias("version"), F.col("given.virtual_slot").alias("virtual_slot"), F.col("to").alias("shard"), (-F.col("given.less")).alias("bytes"), F.col("given.rows").alias("rows"))
 
 
 class SlotMap:

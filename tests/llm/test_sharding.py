@@ -57,6 +57,49 @@ def test_largest_first_as_brute_force(spark):
     assert got == want
 
 
+def by_hand(old, loads, shards, slack):
+    most, load, new = sum(loads.values()) * (1 + slack) / shards, [0] * shards, {}
+    order = sorted(loads, key=lambda k: (-loads[k], k))
+    for k in order:
+        s = old[k]
+        if s < shards and (load[s] == 0 or load[s] + loads[k] <= most):
+            new[k] = s
+            load[s] += loads[k]
+    for k in order:
+        if k not in new:
+            new[k] = load.index(min(load))
+            load[new[k]] += loads[k]
+    return new, load
+
+
+@pytest.mark.parametrize("shards", [40, 43, 37])
+def test_rebalancing_and_growing_over_a_whole_table(spark, tmp_path, shards):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sharding.records(docs).withColumn("later", F.col("doc_id") % 3 == 0)
+    rows = rows.withColumn("size", F.when(F.col("virtual_slot") % 10 == 0, 3 * F.col("size")).otherwise(F.col("size")))
+    maps = sharding.SlotMap(spark, f"file://{tmp_path}/map")
+    before = maps.write(sharding.build_map(sharding.slot_loads(rows.filter("not later")), 40), 1)
+    loads = sharding.slot_loads(rows)
+    after = maps.write(sharding.rebalance(before, loads, shards, 2), 2)
+    size = {r.virtual_slot: r.bytes for r in loads.collect()}
+    old, new = ({r.virtual_slot: r.shard for r in m.collect()} for m in (before, after))
+    want, load = by_hand(old, size, shards, 0.01)
+    assert new == want and len(new) == sharding.SLOTS
+    assert {r.virtual_slot: r.bytes for r in after.collect()} == size
+    anew = {r.virtual_slot: r.shard for r in sharding.build_map(loads, shards).collect()}
+    assert sum(old[k] != new[k] for k in new) < sum(old[k] != anew[k] for k in new) / 2
+    assert max(load) - min(load) <= 0.03 * sum(load) / shards + max(size.values())
+    grown = {r.virtual_slot: r.shard for r in sharding.grow_map(after, shards, 3).collect()}
+    assert all(grown[k] in (new[k], shards) for k in new) and shards in grown.values()
+
+
+def test_rebalancing_unchanged_loads_moves_nothing(spark):
+    loads = spark.range(300).select(F.col("id").cast("int").alias("virtual_slot"), (F.col("id") % 17 + 60).alias("bytes"), F.lit(1).cast("long").alias("rows"))
+    first = sharding.build_map(loads, 5)
+    moved = sharding.rebalance(first, loads, 5, 2).join(first.select("virtual_slot", F.col("shard").alias("was")), "virtual_slot")
+    assert moved.filter("shard <> was").count() == 0
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sharding.query(spark, str(tmp_path)).count() == 0
