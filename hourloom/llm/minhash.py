@@ -52,6 +52,12 @@ def tables(percent: int, miss: float = MISS) -> int:
     return math.ceil(math.log(miss / 2) / math.log(1 - (percent / 100) ** HALF))
 
 
+def table_keys(percent: int) -> Column:
+    """The keys of all tables, in their order: each half key of ``a`` with each of ``b``."""
+    m = tables(percent)
+    return F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i * m + j, x, y))))
+
+
 class Shingles:
     """Distinct shingle hashes of texts, and their half keys."""
 
@@ -198,19 +204,26 @@ def last_pairs(left: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     apart = (F.col("urep") > F.col("vrep")) & (F.col("uroot") != F.col("vroot"))
     ends = F.col("urep").alias("u"), F.col("vrep").alias("v")
 
-    # Pairs without a rare shingle in common.
+    # Pairs without a rare shingle in common: one row for each class meets its node before its tables are listed.
+    # In a bucket, all meet those outside the component that has most of its nodes.
+    solid = classes.select("rep", "n", "a", "b").join(nodes.filter(F.col("other") * 100 >= F.col("n") * percent), ["rep", "n"])
+    solid = materialize(solid.select("rep", "n", "root", "other", "a", "b", F.posexplode(table_keys(percent)).alias("at", "key")), f"{at}/solid")
+    held_by = solid.groupBy("key", "root").agg(F.count(F.lit(1)).alias("held"))
+    several = held_by.groupBy("key").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("held").alias("rows_of"))
+    met = materialize(looked_up(solid, several.filter("roots > 1").drop("roots"), "key", f"{at}/several"), f"{at}/met")
     m = tables(percent)
-    solid = left.select("key", "at", "rep", "n").join(nodes.filter(F.col("other") * 100 >= F.col("n") * percent), ["rep", "n"])
-    solid = materialize(solid.join(classes.select("rep", "n", "a", "b"), ["rep", "n"]), f"{at}/solid")
     first = lambda c: F.array_position(F.zip_with(f"u{c}", f"v{c}", lambda x, y: x == y), True) - 1
-    met = side(solid, "u", "key").join(side(solid, "v", "key"), "key").filter(apart & possible(F.least("uother", "vother")) & (F.col("uat") == first("a") * m + first("b")))
+    once_each = (F.col("uroot") != F.col("vroot")) & ((F.col("uroot") == F.col("umain")) | (F.col("urep") > F.col("vrep")))
+    met = side(met, "u", "key").join(side(met.filter("root <> main"), "v", "key"), "key")
+    met = met.filter(once_each & possible(F.least("uother", "vother")) & (F.col("uat") == first("a") * m + first("b")))
 
     # Pairs with some.
     some = rare.filter("holders > 1").select(F.col("id").alias("rep"), "shingle").join(nodes.select("rep", "root").distinct(), "rep")
     some = side(some, "u", "shingle").join(side(some, "v", "shingle"), "shingle").filter(apart).groupBy("urep", "vrep").agg(F.count(F.lit(1)).alias("both"))
     known = nodes.drop("root")
     some = some.join(side(known, "u"), "urep").join(side(known, "v"), "vrep").filter(possible(F.least(F.col("both") + F.least("uother", "vother"), "un", "vn")))
-    return met.select(*ends).unionByName(some.select(*ends)).distinct()
+    either = F.greatest("urep", "vrep").alias("u"), F.least("urep", "vrep").alias("v")
+    return met.select(*either).unionByName(some.select(*ends)).distinct()
 
 
 def components(edges: DataFrame, at: str) -> DataFrame:
@@ -259,9 +272,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = sets.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows_of"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
     classes = materialize(classes, f"{at}/classes")
 
-    m = tables(percent)
-    keys = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i * m + j, x, y))))
-    entries = classes.select("rep", "n", F.posexplode(keys).alias("at", "key"))
+    entries = classes.select("rep", "n", F.posexplode(table_keys(percent)).alias("at", "key"))
     shared = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.min_by("n", "rep").alias("leader_n"), F.count(F.lit(1)).alias("rows_of")).filter("rows_of > 1")
     entries = materialize(looked_up(entries, shared, "key", f"{at}/shared"), f"{at}/entries")  # only buckets with several classes
 
