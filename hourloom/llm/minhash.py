@@ -13,8 +13,8 @@ pairs across them compared, each in the first table it shares. Shingles that at
 counted exactly for the pairs that share any; all others of a pair number at most the fewer of either node's, which
 bounds its likeness and leaves out pairs that can't link. Components come from alternating large and small stars.
 
-Keys that hold over a thousandth of the rows, of which there can't be over a thousand, are looked up by
-broadcast, others by a shuffle, so a hot key never lands in one task.
+Keys that hold over a thousandth of the rows, of which there can't be over a thousand, are told apart by a set
+in the plan and looked up by broadcast, others by a shuffle, so a hot key never lands in one task.
 
 Defined results: a null or empty text, and one of blanks alone, has an empty set and no links; one
 of fewer words than a shingle is one shingle; rows that share a doc_id are one document, as are rows
@@ -130,15 +130,17 @@ def sketched(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, n_shingles long, digest binary, a array<long>, b array<long>")
 
 
-def looked_up(rows: DataFrame, found: DataFrame, key: str, at: str, how: str = "inner") -> DataFrame:
+def looked_up(rows: DataFrame, found: DataFrame, key: str, at: str) -> DataFrame:
     """rows joined with ``found`` (one row for each key, its rows' number in ``rows_of``)."""
     found = materialize(found, at)
     total = found.agg(F.sum("rows_of")).first()[0] or 0
-    hot = found.filter(F.col("rows_of") > max(total / HOT, 100)).drop("rows_of")  # under HOT rows
-    marked = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), key, "left")
-    rest = found.filter(F.col("rows_of") <= max(total / HOT, 100)).drop("rows_of")
-    others = marked.filter("hot is null").select(*rows.columns).join(rest, key, how)
-    return marked.filter("hot").select(*others.columns).unionByName(others)
+    many = F.col("rows_of") > max(total / HOT, 100)
+    keys = [r[0] for r in found.filter(many).select(key).collect()]  # under HOT, as each has over a HOTth of all rows
+    if not keys:
+        return rows.join(found.drop("rows_of"), key)
+    hot = F.col(key).isin(keys)
+    few = rows.filter(hot).join(F.broadcast(found.filter(many).drop("rows_of")), key)
+    return few.unionByName(rows.filter(~hot).join(found.filter(~many).drop("rows_of"), key))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:

@@ -104,3 +104,18 @@ def test_empty_table(spark, tmp_path):
 def test_tables_keep_misses_rare(percent):
     m, p = minhash.tables(percent), (percent / 100) ** minhash.HALF
     assert 1 - (1 - (1 - p) ** m) ** 2 <= minhash.MISS
+
+
+@pytest.mark.parametrize("hot", [0, 1, 12])
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_looked_up_keeps_every_row_of_hot_keys(spark, kind, hot):
+    sizes = [500 + i for i in range(hot)] + [1] * 300 + [7] * 20
+    rows = spark.createDataFrame([(k, i) for k, n in enumerate(sizes) for i in range(n)], "k long, own long")
+    name = lambda k: k if kind == "long" else str(k).encode()
+    rows = rows.selectExpr("k as key" if kind == "long" else "cast(cast(k as string) as binary) as key", "own")
+    found = rows.groupBy("key").agg(minhash.F.count("own").alias("rows_of"), minhash.F.max("own").alias("most")).filter("rows_of > 1")
+    at = minhash.shared_dir(spark)
+    out = minhash.looked_up(rows, found, "key", f"{at}/found")
+    assert out.columns == ["key", "own", "most"]
+    want = sorted((name(k), i, n - 1) for k, n in enumerate(sizes) if n > 1 for i in range(n))
+    assert sorted((bytes(r.key) if kind == "binary" else r.key, r.own, r.most) for r in out.collect()) == want
