@@ -24,11 +24,11 @@ TRACKER_COLUMNS = ["exp_id", "date", "fold_A", "fold_B", "local", "leaderboard",
 
 
 def numbered(template: DataFrame, order: Iterable[str]) -> DataFrame:
-    """The template with row_id, its rows' places (1 ..) by ``order``, which the template's own columns tell.
+    """The template with row_id, its rows' places (1 ..) by ``order``, which the template's own columns tell; missing values come last.
 
     Places are counted in ranges of the order, which is one pass and one small table of the ranges' counts.
     """
-    order = list(order)
+    order = [F.col(c).asc_nulls_last() for c in order]
     placed = staged(template.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
@@ -36,8 +36,11 @@ def numbered(template: DataFrame, order: Iterable[str]) -> DataFrame:
     return placed.withColumn("_at", inside).join(before, "_range").withColumn("row_id", F.col("_before") + F.col("_at")).select("row_id", *template.columns)
 
 
-def to_template(result: DataFrame, template: DataFrame, key: str, p: str, low: float = LEAST, high: float = MOST) -> DataFrame:
-    """The template's rows in its order (its columns, with row_id), each with its limited value, NULL where the result has none."""
+def to_template(result: DataFrame, template: DataFrame, key: str, p: str, low: float | None = LEAST, high: float | None = MOST) -> DataFrame:
+    """The template's rows in its order (its columns, with row_id), each with its limited value, NULL where the result has none.
+
+    A limit of None is none at all, for NaN too, which is above every number.
+    """
     values = result.select(key, clip(F.col(p), low, high).alias(p))
     return template.join(values, key, "left").select(*template.columns, p).orderBy("row_id")
 
@@ -73,6 +76,19 @@ def read_csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def read_csv_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of one CSV file with _line, their places in it (1 ..).
+
+    Spark reads a file in blocks, as many as its size asks for, and by several tasks. Each block's rows are numbered
+    by the task that reads them, and the rows of the blocks before are added. Written once: blocks can be dealt otherwise when read again.
+    """
+    rows = read_csv_table(spark, path, schema)
+    placed = staged(rows.select("*", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")))
+    counts = placed.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n") - F.col("_first") + 1).alias("_before"))
+    return placed.join(before, "_block").select(*rows.columns, (F.col("_before") + F.col("_id")).alias("_line"))
+
+
 # The log of experiments and the tracker
 
 
