@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from hourloom.llm import files
-from hourloom.llm.common import columns_of, frugal, materialize, shared_dir, ship, shuffle_partitions, stored_bytes, table
+from hourloom.llm.common import columns_of, delete, frugal, materialize, shared_dir, ship, shuffle_partitions, stored_bytes, table, tidy
 
 #: The contract's sizes.
 LEAST_CHARS, LEAST_DOCS = 40, 5
@@ -121,7 +121,8 @@ def long_enough(key: bytes, least: int) -> bool:
 
 def by_part(rows: DataFrame, path: str, key: str = "part") -> None:
     """Write one folder of files for each value of ``key``."""
-    rows.repartition(key).write.partitionBy(key).parquet(path)
+    with tidy(rows.sparkSession):
+        rows.repartition(key).write.partitionBy(key).parquet(path)
 
 
 def write_suspects(rows: DataFrame, at: str, least_chars: int) -> None:
@@ -220,6 +221,8 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = (), least_chars: int
     holders = F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))
     keepers = lines.groupBy("key").agg(holders.alias("docs"), F.max("doc_id").alias("keeper")).filter(F.col("docs") >= least_docs)
     by_part(lines.select("part", "key").distinct().join(keepers.select("key", "keeper"), "key"), f"{at}/lost")
+    for done in ("dealt", "twice", "suspects", "suspected"):
+        delete(spark, f"{at}/{done}")
 
     @frugal
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import frugal, materialize, shared_dir, ship, table
+from hourloom.llm.common import delete, frugal, materialize, shared_dir, ship, table
 
 #: Words of a shingle and likeness in percent, of the query and of other uses.
 WORDS, PERCENT = 5, 80
@@ -43,8 +43,9 @@ HALF, MISS, CACHED_WORDS = 2, 2e-5, 200_000
 NO_ID = (1 << 63) - 1
 #: A shingle that at most so many open nodes hold is rare.
 RARE = 8
-#: Texts worked on together; keys with more than this part of the rows are looked up by broadcast.
-FEW, HOT = 64, 1000
+#: Texts worked on together; keys with more than this part of the rows are looked up by broadcast; half keys of A whose
+#: tables are dealt at once.
+FEW, HOT, AT_ONCE = 64, 1000, 3
 
 
 def tables(percent: int, miss: float = MISS) -> int:
@@ -52,10 +53,10 @@ def tables(percent: int, miss: float = MISS) -> int:
     return math.ceil(math.log(miss / 2) / math.log(1 - (percent / 100) ** HALF))
 
 
-def table_keys(percent: int) -> Column:
-    """The keys of all tables, in their order: each half key of ``a`` with each of ``b``."""
+def table_keys(percent: int, first: int = 0, n: int | None = None) -> Column:
+    """The keys of the tables, in their order: each half key of ``a``, or ``n`` from the ``first`` on, with each of ``b``."""
     m = tables(percent)
-    return F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i * m + j, x, y))))
+    return F.flatten(F.transform(F.slice("a", first + 1, n or m), lambda x, i: F.transform("b", lambda y, j: F.xxhash64((i + first) * m + j, x, y))))
 
 
 class Shingles:
@@ -143,6 +144,19 @@ def looked_up(rows: DataFrame, found: DataFrame, key: str, at: str) -> DataFrame
     return few.unionByName(rows.filter(~hot).join(found.filter(~many).drop("rows_of"), key))
 
 
+def shared_entries(classes: DataFrame, percent: int, at: str) -> DataFrame:
+    """key, rep, n, leader, leader_n: the places of classes in buckets with several. A table's keys are its own, so tables
+    are dealt a few at a time and never lie in shuffles all at once."""
+    done = []
+    for k in range(0, tables(percent), AT_ONCE):
+        entries = classes.select("rep", "n", F.explode(table_keys(percent, k, AT_ONCE)).alias("key"))
+        shared = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.min_by("n", "rep").alias("leader_n"), F.count(F.lit(1)).alias("rows_of")).filter("rows_of > 1")
+        done.append(f"{at}/entries-{k}")
+        entries = materialize(looked_up(entries, shared, "key", f"{at}/shared"), done[-1])
+        delete(classes.sparkSession, f"{at}/shared")
+    return classes.sparkSession.read.schema(entries.schema).parquet(*done)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are alike enough."""
 
@@ -259,11 +273,11 @@ def largest_free(docs: DataFrame) -> int | None:
         span *= 64
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, at: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row. ``at``: a new shared folder, needed until the result is read."""
     spark = docs.sparkSession
     ship(spark)
-    at = shared_dir(spark)
+    at = at or shared_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     free = largest_free(docs)
     if free is not None:  # inside, the ids above the free one are one less, so that NO_ID stands for none alone
@@ -274,9 +288,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = sets.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows_of"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
     classes = materialize(classes, f"{at}/classes")
 
-    entries = classes.select("rep", "n", F.posexplode(table_keys(percent)).alias("at", "key"))
-    shared = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.min_by("n", "rep").alias("leader_n"), F.count(F.lit(1)).alias("rows_of")).filter("rows_of > 1")
-    entries = materialize(looked_up(entries, shared, "key", f"{at}/shared"), f"{at}/entries")  # only buckets with several classes
+    entries = shared_entries(classes, percent, at)
+    # All texts that any round compares, dealt once; the size of this list is known to Spark.
+    met = materialize(entries.select(F.col("rep").alias("id")).distinct(), f"{at}/met")
+    docs = materialize(docs.join(met, "id", "left_semi"), f"{at}/texts")
 
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     pairs = entries.filter((F.col("rep") != F.col("leader")) & near(F.col("n"), F.col("leader_n"))).select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
@@ -289,10 +304,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     def placed(roots: DataFrame, name: str) -> DataFrame:
         """Entries of the buckets whose nodes are in several components."""
-        own = entries.select("key", "at", "rep", "n").join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        own = entries.select("key", "rep", "n").join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         own = materialize(own, f"{at}/{name}-placed")
         open_ = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows_of")).filter("lo < hi")
-        return materialize(looked_up(own, open_, "key", f"{at}/{name}-open").select("key", "at", "rep", "n", "root"), f"{at}/{name}")
+        found = materialize(looked_up(own, open_, "key", f"{at}/{name}-open").select("key", "rep", "n", "root"), f"{at}/{name}")
+        for done in ("placed", "open"):
+            delete(spark, f"{at}/{name}-{done}")
+        return found
 
     # Second round: each bucket's node with most links so far.
     left = placed(roots, "left-2")
@@ -305,12 +323,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     roots = components(links.unionByName(roots.select("u", F.col("root").alias("v"))), f"{at}/components-2")
 
     # The rest, exactly: pairs across components that aren't compared yet and may be alike enough.
-    third = last_pairs(placed(roots, "left-3"), classes, docs, words, percent, at)
+    third = last_pairs(placed(roots, "left-3"), classes, docs, words, percent, f"{at}/last")
     tested = pairs.unionByName(second)
     tested = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     third = materialize(third.join(tested, ["u", "v"], "left_anti"), f"{at}/pairs-3")
+    delete(spark, f"{at}/last")
     links = materialize(verified(third, docs, words, percent), f"{at}/links-3")
     roots = components(links.unionByName(roots.select("u", F.col("root").alias("v"))), f"{at}/components-3")
+    for done in ("texts", "left-2", "left-3", "best", *(f"entries-{k}" for k in range(0, tables(percent), AT_ONCE))):
+        delete(spark, f"{at}/{done}")
 
     of_class = classes.select("digest", "rep", "rows_of").join(roots.withColumnRenamed("u", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"), "rows_of")
     full = looked_up(sets.select("digest", "id", "n_shingles"), of_class, "digest", f"{at}/of-class").select("id", "n_shingles", "component_id")
