@@ -12,6 +12,7 @@ from test_minhash import corpus
 from hourloom.llm import common, minhash
 
 F = minhash.F
+SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shuffles(spark):
@@ -25,14 +26,14 @@ def folders(at):
 
 def test_a_written_table_keeps_no_shuffle(spark):
     before = shuffles(spark)
-    setting = spark.conf.get(common._TIDY, None)
+    setting = spark.conf.get(SETTING, None)
     counts = spark.range(5000).groupBy((F.col("id") % 700).alias("key")).count()
     out = common.materialize(counts.repartition(3, "count"), f"{common.shared_dir(spark)}/out")
     end = time.time() + 5
     while (left := shuffles(spark) - before) and time.time() < end:  # deleted in the background
         time.sleep(0.1)
     assert not left and out.count() == 700
-    assert spark.conf.get(common._TIDY, None) == setting
+    assert spark.conf.get(SETTING, None) == setting
 
 
 @pytest.mark.parametrize("at_once", [1, 3, 100])
