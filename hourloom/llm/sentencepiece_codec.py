@@ -2,10 +2,11 @@
 
 A text's symbols start as its characters; an agenda of adjacent pairs, best score first and then
 leftmost, is worked off until no pair is a piece. Symbols that are no piece fall back to bytes.
-No piece of the vocabulary spans the start of a new run of word marks, or holds a character that
-only stands alone, so segments cut there merge independently: a segment is worked out once for each
-task's bounded cache, not for each occurrence. Where a vocabulary has pieces that do span words,
-whole texts are the segments.
+No piece of the vocabulary spans the start of a new run of word marks, holds a character that only
+stands alone, or has characters of two classes (letters and punctuation, say), which are read from
+the pieces; so segments cut there merge independently: a segment is worked out once for each
+task's bounded cache, not for each occurrence. Where a vocabulary has pieces that do span words, or
+no bytes, so that unknown characters side by side have one id, whole texts are the segments.
 
 In every Arrow batch the sentencepiece library encodes each segment that was newly worked out, and
 one whole text of every ``FEW``; it decodes every text's ids, and texts that don't come back as they
@@ -21,7 +22,8 @@ import hashlib
 import heapq
 import itertools
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +33,10 @@ from hourloom.llm.common import frugal, ship, table
 
 VOCABULARY = "piece_bpe_32k.model"
 #: The library's mark of a space, and the segments of each of the two generations that a task remembers.
-MARK, CACHED_SEGMENTS = "▁", 150_000
-#: Segments of up to so many characters use the list agenda; the rank of a pair that is no piece.
-SHORT, NEVER = 40, float("inf")
+MARK, CACHED_SEGMENTS = "▁", 400_000
+#: Segments of up to so many characters use the list agenda; the rank of a pair that is no piece, and of one whose score others
+#: have, which becomes a symbol that stays to the end.
+SHORT, NEVER, TIED = 40, 1 << 60, -1
 #: Segments beyond this length aren't remembered; documents whose ids a task holds at a time.
 LONGEST, FEW = 64, 64
 _loaded: dict = {}
@@ -48,6 +51,30 @@ def codec(path: str | None = None) -> Codec:
     return _loaded[path]
 
 
+def classes(pieces: Iterable[str]) -> tuple[list[str], str]:
+    """Characters that pieces hold beside others (or themselves), put together where pieces link them; and those that pieces
+    hold beside marks only. No piece has characters of two of the former, nor two of the latter, nor of both."""
+    other: dict[str, str] = {}
+    led: set[str] = set()
+
+    def of(c: str) -> str:
+        while (up := other.setdefault(c, c)) != c:
+            other[c] = c = other[up]
+        return c
+
+    for p in pieces:
+        rest = p.replace(MARK, "")
+        if len(rest) > 1:
+            for c in rest:
+                other[of(c)] = of(rest[0])
+        elif len(p) > 1:
+            led.update(rest)
+    together: dict[str, str] = {}
+    for c in sorted(other):
+        together[of(c)] = together.get(of(c), "") + c
+    return sorted(together.values(), key=len, reverse=True), "".join(sorted(led - other.keys()))
+
+
 class Segments(dict):
     """Ids of segments, worked out when first asked for."""
 
@@ -78,23 +105,35 @@ class Codec:
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
         every = range(lib.get_piece_size())
         self.pieces = {lib.id_to_piece(i): i for i in every if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i))}
-        self.rank = {p: (-lib.get_score(i)) for p, i in self.pieces.items()}
+        self.score = {p: (-lib.get_score(i)) for p, i in self.pieces.items()}
+        self.names = sorted(self.pieces, key=self.score.__getitem__)
+        self.placed = [self.pieces[p] for p in self.names]
+        self.place = {p: k for k, p in enumerate(self.names)}
+        longer = [p for p in self.names if len(p) > 1]
+        alike = Counter(self.score[p] for p in longer)
+        self.rank: defaultdict[int, dict[int, int]] = defaultdict(dict)
+        for p in longer:
+            for k in range(1, len(p)):
+                if (a := self.place.get(p[:k])) is not None and (b := self.place.get(p[k:])) is not None:
+                    self.rank[a][b] = self.place[p] if alike[self.score[p]] == 1 else TIED
         named = {lib.id_to_piece(i): i for i in every if lib.is_byte(i)}
         self.bytes = [named[f"<0x{b:02X}>"] for b in range(256)] if len(named) == 256 else None
         self.unknown = lib.unk_id()
-        inside = {c for p in self.pieces if len(p) > 1 for c in p}
         spans = any(MARK in p.lstrip(MARK) for p in self.pieces)
-        breaks = "".join(map(re.escape, (c for c in "\n\r\t" if c not in inside)))
-        alone = f"|[{breaks}]" if breaks else ""
-        self.cut = re.compile(r".+" if spans else rf"[ {MARK}]*[^ {MARK}{breaks}]+|[ {MARK}]+{alone}", re.DOTALL).findall
+        several, single = classes(self.pieces)
+        runs = "|".join([*(f"[{re.escape(x)}]+" for x in several), *([f"[{re.escape(single)}]"] if single else [])])
+        led = rf"[ {MARK}]*(?:{runs})|" if runs else ""
+        self.cut = re.compile(r".+" if spans or self.bytes is None else rf"{led}[ {MARK}]+|.", re.DOTALL).findall
+        self.said = list(map(str, every))
         self.known = Segments(self.merge)
 
     def merge(self, segment: str) -> tuple[int, ...]:
         """Work off the agenda of one segment, with a mark for each space as the model's normaliser has it."""
         segment = segment.replace(" ", MARK)
-        symbols = self._short(segment) if len(segment) <= SHORT else self._long(segment)
+        if len(segment) <= SHORT and (places := self._agenda(segment)) is not None:
+            return tuple(map(self.placed.__getitem__, places))
         ids: list[int] = []
-        for s in symbols:
+        for s in self._long(segment):
             if (found := self.pieces.get(s)) is not None:
                 ids.append(found)
             elif self.bytes is not None:
@@ -103,24 +142,34 @@ class Codec:
                 ids.append(self.unknown)
         return tuple(ids)
 
-    def _short(self, segment: str) -> list[str]:
-        """The agenda as a list by place: few pairs, so its least entry is found by looking."""
-        rank, symbols = self.rank.get, list(segment)
-        agenda = [rank(a + b, NEVER) for a, b in itertools.pairwise(symbols)]
-        while agenda and (best := min(agenda)) is not NEVER:
+    def _agenda(self, segment: str) -> list[int] | None:
+        """The agenda as a list by place: few pairs, so its least entry is found by looking. Symbols are places in the order of
+        scores, so a pair's rank is what it becomes; none where characters are no pieces, or a pair's score isn't its own."""
+        rank = self.rank
+        try:
+            symbols = list(map(self.place.__getitem__, segment))
+        except KeyError:
+            return None
+        agenda = [rank[a].get(b, NEVER) for a, b in itertools.pairwise(symbols)]
+        while agenda and (best := min(agenda)) != NEVER:
             i = agenda.index(best)
-            symbols[i] = piece = symbols[i] + symbols.pop(i + 1)
-            del agenda[i]
+            symbols[i] = best
+            del agenda[i], symbols[i + 1]
             if i < len(agenda):
-                agenda[i] = rank(piece + symbols[i + 1], NEVER)
+                agenda[i] = rank[best].get(symbols[i + 1], NEVER)
             if i:
-                agenda[i - 1] = rank(symbols[i - 1] + piece, NEVER)
-        return symbols
+                agenda[i - 1] = rank[symbols[i - 1]].get(best, NEVER)
+        return None if TIED in symbols else symbols
+
+    def _short(self, segment: str) -> list[str]:
+        """What the list agenda leaves, as text; by the heap where the list can't tell."""
+        places = self._agenda(segment)
+        return self._long(segment) if places is None else [self.names[k] for k in places]
 
     def _long(self, segment: str) -> list[str]:
         """The agenda as a heap, with entries that later merges have made void."""
         symbols: list[str | None] = list(segment)
-        n, rank = len(symbols), self.rank
+        n, rank = len(symbols), self.score
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(r, i, i + 1, segment[i : i + 2]) for i in range(n - 1) if (r := rank.get(segment[i : i + 2])) is not None]
         heapq.heapify(agenda)
@@ -178,7 +227,7 @@ def encoded(docs: DataFrame, path: str | None = None, check: bool = True, with_i
                 if check:
                     own.check(few.column("doc_id").to_pylist(), texts, ids, decoded)
                 own.known.new.clear()
-                said = [str(x)[1:-1].replace(" ", "") for x in ids]
+                said = [",".join(map(own.said.__getitem__, x)) for x in ids]
                 columns = [
                     few.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in said]),
                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded]),

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -57,3 +59,35 @@ def test_a_difference_stops_the_job():
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert S.query(spark, str(tmp_path)).count() == 0
+
+
+def test_a_word_is_worked_out_once_whatever_stands_beside_it():
+    own = S.Codec(__import__("public_tokenizers").path(S.VOCABULARY))
+    text = "thonnthe, thonnthe. thonnthe### thonnthe\nthonnthe,"
+    assert own.encode(text) == own.library.encode(text)
+    assert sorted(own.known.new) == sorted([" thonnthe", "thonnthe", ",", ".", "###", "\n"])
+
+
+def test_no_piece_spans_a_cut():
+    own = S.codec()
+    assert [p for p in own.pieces if own.cut(p) != [p]] == []
+
+
+def test_pieces_side_by_side_equal_the_library():
+    own, draw = S.codec(), random.Random(5)
+    names = [*own.pieces, *"😀\x00́\n\t0 "]
+    for _ in range(3000):
+        text = "".join(draw.choices(names, k=draw.randint(1, 12)))
+        assert own.encode(text) == own.library.encode(text), text
+
+
+@pytest.mark.parametrize("setting", [{"split_by_whitespace": False, "byte_fallback": True}, {"byte_fallback": False}, {"byte_fallback": True}])
+def test_other_vocabularies(tmp_path, setting):
+    lines = ["the word of the word", "of the other, the one.", "in the end (the end)"] * 30
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(lines), model_prefix=f"{tmp_path}/m", model_type="bpe", vocab_size=320 if setting["byte_fallback"] else 50, hard_vocab_limit=False,
+        normalization_rule_name="identity", remove_extra_whitespaces=False, minloglevel=2, **setting,
+    )
+    own = S.Codec(f"{tmp_path}/m.model")
+    for text in ["the word of the word", "of the, the one.  the end)", "the\n\tend \n\n", "日本 the日\n of", "  the", "QQ\r\n", "((the.).)"]:
+        assert own.encode(text) == own.library.encode(text), text
