@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import frugal, ship, table
+from hourloom.llm.common import frugal, keep, ship, table
 
 VOCABULARY = "piece_bpe_32k.model"
 #: The library's mark of a space, and the segments of each of the two generations that a task remembers.
@@ -39,11 +39,11 @@ MARK, CACHED_SEGMENTS = "▁", 400_000
 SHORT, NEVER, TIED = 40, 1 << 60, -1
 #: Segments beyond this length aren't remembered; documents whose ids a task holds at a time.
 LONGEST, FEW = 64, 64
-_loaded: dict = {}
+_loaded = keep(__name__)
 
 
 def codec(path: str | None = None) -> Codec:
-    """The codec of a model file, loaded once in each worker."""
+    """The codec of a model file, loaded once in each worker, until a task of another operator starts there."""
     if path not in _loaded:
         import public_tokenizers
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourloom.llm import files
-from hourloom.llm.common import frugal, materialize, shared_dir, ship, shuffle_partitions, table
+from hourloom.llm.common import frugal, keep, materialize, shared_dir, ship, shuffle_partitions, table
 from hourloom.llm.warc import spread
 
 #: Fixed values of the public formats: skippable frames, their kinds used here, the seek table's end.
@@ -54,7 +54,7 @@ PLAIN = re.compile(r"([^\W\d_]*)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)").fullm
 #: The public byte-level alphabet: bytes that print stand for themselves, others from 256 on, in order.
 _PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: b if b in _PRINT else 256 + sum(x not in _PRINT for x in range(b)) for b in range(256)}
-_loaded: dict = {}
+_loaded = keep(__name__)
 
 
 def tokenizer(path: str | None):

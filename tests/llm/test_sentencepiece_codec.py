@@ -1,14 +1,18 @@
 from __future__ import annotations
 
+import gc
 import hashlib
 import random
+import weakref
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from hourloom.llm import common
 from hourloom.llm import sentencepiece_codec as S
 
 TEXTS = ["", None, "  a  b ", " ", "\n", "▁▁ x", "日本語 \t\r\n zz", "<s> </s> <0x0A>", "a\x00b", "😀é", "́ x", "  " * 50, "x" * 5000, "ab▁cd", "the the the", "word " * 40_000]
@@ -91,3 +95,30 @@ def test_other_vocabularies(tmp_path, setting):
     own = S.Codec(f"{tmp_path}/m.model")
     for text in ["the word of the word", "of the, the one.  the end)", "the\n\tend \n\n", "日本 the日\n of", "  the", "QQ\r\n", "((the.).)"]:
         assert own.encode(text) == own.library.encode(text), text
+
+
+def test_workers_keep_no_codec_for_another_operator(spark):
+    docs = spark.createDataFrame(enumerate(["some words", "of a text"] * 40), "doc_id long, text string").repartition(8).cache()
+
+    def look(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(S._loaded)], pa.int64())], ["codecs"])
+
+    def left(task):
+        S.encoded(docs).collect()
+        return {r.codecs for r in docs.mapInArrow(task, "codecs long").collect()}
+
+    assert 1 in left(look)  # workers stay, and with them what they hold
+    assert left(common.frugal(look)) == {0}
+
+
+def test_a_codec_goes_at_once_and_only_for_another_operator():
+    own = weakref.ref(S.codec())
+    gc.disable()
+    try:
+        common.let_go(S.__name__)
+        assert own() is S.codec()
+        common.let_go("another")
+        assert own() is None
+    finally:
+        gc.enable()
