@@ -46,6 +46,8 @@ RARE = 8
 #: Texts worked on together; keys with more than this part of the rows are looked up by broadcast; half keys of A whose
 #: tables are dealt at once.
 FEW, HOT, AT_ONCE = 64, 1000, 3
+#: Rows of a file of edges.
+FILE_ROWS = 100_000
 
 
 def tables(percent: int, miss: float = MISS) -> int:
@@ -131,9 +133,15 @@ def sketched(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, n_shingles long, digest binary, a array<long>, b array<long>")
 
 
-def looked_up(rows: DataFrame, found: DataFrame, key: str, at: str) -> DataFrame:
-    """rows joined with ``found`` (one row for each key, its rows' number in ``rows_of``)."""
-    found = materialize(found, at)
+def files(spark: SparkSession, rows: int) -> int:
+    """Files for a table of at most so many narrow rows: as many as there are shuffle partitions are mostly empty where it is
+    small, and a local file costs processes that its executor starts."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+
+
+def looked_up(rows: DataFrame, found: DataFrame, key: str, at: str, most: int | None = None) -> DataFrame:
+    """rows joined with ``found`` (one row for each key, its rows' number in ``rows_of``), written to at most ``most`` files."""
+    found = materialize(found.coalesce(most) if most else found, at)
     total = found.agg(F.sum("rows_of")).first()[0] or 0
     many = F.col("rows_of") > max(total / HOT, 100)
     keys = [r[0] for r in found.filter(many).select(key).collect()]  # under HOT, as each has over a HOTth of all rows
@@ -252,13 +260,14 @@ def components(edges: DataFrame, at: str) -> DataFrame:
         if now == mark or not now[0]:
             return edges.select("u", F.col("v").alias("root"))
         mark, step = now, step + 1
+        most = files(edges.sparkSession, 2 * now[0])
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("rows_of"))
-        large = looked_up(both, least, "u", f"{at}/{step}-large-least").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        large = materialize(large, f"{at}/{step}-large")
+        large = looked_up(both, least, "u", f"{at}/{step}-large-least", most).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = materialize(large.coalesce(most), f"{at}/{step}-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("rows_of"))
-        small = looked_up(large, least, "u", f"{at}/{step}-small-least").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = materialize(small.select("e.*").filter("u > v").distinct(), f"{at}/{step}")
+        small = looked_up(large, least, "u", f"{at}/{step}-small-least", most).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        edges = materialize(small.select("e.*").filter("u > v").distinct().coalesce(most), f"{at}/{step}")
 
 
 def largest_free(docs: DataFrame) -> int | None:

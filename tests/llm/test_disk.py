@@ -59,3 +59,20 @@ def test_stages_leave_what_their_results_need(spark, monkeypatch):
     assert n == docs.count() and folders(made[0]) == {"rows", "lost"}
     assert 0 < pipeline.drop_near_copies(spark, docs, "").count() < n
     assert folders(made[1]) == {"rows", "with-id"} and folders(f"{made[1]}/with-id") == {"placed"}
+
+
+def test_small_tables_of_edges_are_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(minhash, "FILE_ROWS", 10)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(300) if i % 10 != 9], "u long, v long")
+        roots = minhash.components(edges, f"file://{tmp_path}/c")
+        assert sorted(map(tuple, roots.collect())) == [(i, i - i % 10) for i in range(300) if i % 10]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    written = {d.name: len(list(d.glob("part-*"))) for d in (tmp_path / "c").iterdir() if d.name != "0"}
+    assert written and max(written.values()) <= max(2 * spark.sparkContext.defaultParallelism, 2 * 270 // 10)
